@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel takes at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -19,7 +19,7 @@ from .bpe import Codec, Lexicon, codec
 
 #: Words in the lexicon: a bound on the automaton and on what the driver holds, not on the texts.
 LEXICON_WORDS = 1 << 16
-_COUNT_SLICE = 16 << 20
+_COUNT_SLICE = 4 << 20
 
 
 def default_tokenizer() -> str:
