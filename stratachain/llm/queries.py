@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-NAMES = ["op2_packing", "op4_neardup", "op5_toxicity", "op6_fingerprint", "op9_substring", "op10_bpe"]
+NAMES = ["op2_packing", "op4_neardup", "op5_toxicity", "op6_fingerprint", "op7_vectors", "op9_substring", "op10_bpe"]
 
 QUERIES = {n: getattr(import_module(f"{__package__}.{n}"), n) for n in NAMES}
 ORACLE_SQL: dict[str, str] = {}
