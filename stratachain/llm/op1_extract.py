@@ -158,6 +158,22 @@ def repeated_runs(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     return np.split(np.cumsum(mark[:-1]) > 0, np.cumsum(size)[:-1])
 
 
+def _unique_text(open_blocks: list[str], covered: np.ndarray, run: int) -> str:
+    """The blocks without their covered stretches. A stretch counts where it is a whole block or ``run`` tokens of one, so that a
+    notice doesn't take along the common words at the start of the next block."""
+    out, at = [], 0
+    for b in open_blocks:
+        tokens = b.split()
+        c = covered[at : at + len(tokens)]
+        at += len(tokens)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(np.int8), [0]])))
+        gone = np.zeros(len(tokens), bool)
+        for i, j in zip(edge[::2], edge[1::2], strict=True):
+            gone[i:j] = j - i >= min(run, len(tokens))
+        out += [w for w, g in zip(tokens, gone, strict=True) if not g]
+    return " ".join(out)
+
+
 def _parsed(pages: DataFrame) -> DataFrame:
     """(page_id, url, host, main, open): main text, and the open blocks."""
 
@@ -193,11 +209,7 @@ def extract(pages: DataFrame, run: int = RUN, most: int = PAGES) -> DataFrame:
         own = [k for k, i in enumerate(ids) if first[i] == k]  # a repeated row isn't another page
         streams = [[w for b in open_[k] for w in b.split()] for k in own]
         cover = {ids[k]: c for k, c in zip(own, repeated_runs(streams, run), strict=True)}
-        texts = []
-        for k, i in enumerate(ids):
-            tokens = [w for b in open_[k] for w in b.split()]
-            c = cover[i]
-            texts.append(" ".join(w for w, gone in zip(tokens, c, strict=True) if not gone) if len(c) == len(tokens) else " ".join(tokens))
+        texts = [_unique_text(open_[k], cover[i] if first[i] == k or open_[first[i]] == open_[k] else np.zeros(sum(len(b.split()) for b in open_[k]), bool), run) for k, i in enumerate(ids)]
         keep = [k for k, w in enumerate(wanted) if w]
         return pa.table({"page_id": table.column("page_id").take(keep), "url": table.column("url").take(keep), "text": pa.array([texts[k] for k in keep], pa.string())})
 
