@@ -77,6 +77,7 @@ class Lowerer:
         self.env = Env(tuple(c(k) for k in keys), tuple(order))
         self.known = known or {}
         self.pending: list[tuple[str, Column]] = []
+        self.groups: dict[tuple, Val] = {}  # nested groupings that are staged already
 
     # -- frame
 
@@ -172,6 +173,12 @@ class Lowerer:
 
     def grouped(self, inner: Node, keys: tuple[Node, ...], env: Env) -> Val:
         """One value for each combination of ``keys`` within the partition, on its first row."""
+        seen = (inner, keys, self.target, env.order, tuple(map(str, env.parts)))
+        if seen not in self.groups:
+            self.groups[seen] = self._grouped(inner, keys, env)
+        return self.groups[seen]
+
+    def _grouped(self, inner: Node, keys: tuple[Node, ...], env: Env) -> Val:
         cols = []
         for k in keys:
             v = self.value(k, replace(env, final=False))

@@ -45,6 +45,7 @@ class Call(Node):
     args: tuple[Node, ...]
     kwargs: tuple[tuple[str, Node], ...] = ()
     spelt: str = field(default="", compare=False)
+    option_spans: tuple[tuple[int, int], ...] = field(default=(), compare=False)
 
 
 @dataclass(frozen=True)
