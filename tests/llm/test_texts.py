@@ -71,9 +71,15 @@ def _near(texts, size, percent):
 def test_near_duplicates_against_all_pairs(spark):
     base = [f"w{k}" for k in range(60)]
     rows = [(k, " ".join(base[:k] + [f"z{k}"] + base[k + 1 :])) for k in range(0, 24)] + [(100 + k, " ".join(f"q{k}{m}" for m in range(20))) for k in range(5)] + [(200, "One"), (201, "one "), (202, None), (203, ""), (203, ""), (204, " \n")]
+    rng = np.random.default_rng(8)
+    for k in range(60):  # a family whose members differ from its first by up to a quarter
+        own = [f"v{m}" for m in range(80)]
+        for m in rng.choice(80, rng.integers(0, 14), replace=False):
+            own[m] = f"u{rng.integers(0, 4)}"
+        rows.append((300 + k, " ".join(own)))
     docs = documents(spark, rows=rows)
     want = _near([(i, t) for i, t in rows], 2, 80)
-    got = op4_neardup.near_duplicates(docs, size=2).collect()
+    got = op4_neardup.near_duplicates(docs, size=2, bands=60, rows=2).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
