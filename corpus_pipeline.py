@@ -18,7 +18,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier scores at ``op5_toxicity.CUT`` or above. It is fitted as op5 fits it, on a bounded
     sample of this stage's labelled rows. Empty documents and ones without label are scored like all others."""
     model = op5_toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out("doc_id", 3, 1))
-    return op5_toxicity.scored(docs, model, tuple(docs.columns)).where(F.col("score") < op5_toxicity.CUT).select(*docs.columns)
+    rows = docs.select("text", F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
+    return op5_toxicity.scored(rows, model, ("row",)).where(F.col("score") < op5_toxicity.CUT).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +32,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts each byte that a 50-byte string covers which also starts in a document of a smaller id, and characters cut in part.
     Every document stays, if need be with an empty text; n_chars follows the text."""
-    cut = op9_substring.remove_repeats(docs, as_text=True).withColumnRenamed("kept", "text")
+    cut = op9_substring.remove_repeats(docs, as_text=True)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return cut
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
