@@ -1,7 +1,7 @@
 """Burrows-Wheeler transforms of shards, and their merge by iterative interleave refinement.
 
-After r rounds the interleave lists all suffixes of all shards ordered by their first r bytes; a place where two
-neighbours first differ in round r has a common prefix of r - 1 bytes. Suffixes are never compared or sorted again.
+After r rounds, of two bytes each, the interleave lists all suffixes of all shards ordered by their first 2r bytes; neighbours that
+first differ in round r have a common prefix of less than 2r bytes. Suffixes are never compared or sorted again.
 """
 
 from __future__ import annotations
@@ -20,34 +20,26 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = key << np.uint64(8) | wide[k : n + k]
-    sa = np.argsort(key, kind="stable")
-    new = np.ones(n, np.int64)
-    new[0] = 0
-    new[1:] = key[sa[1:]] != key[sa[:-1]]
+    sa = np.argsort(key)
+    head = np.ones(n, bool)
+    head[1:] = key[sa[1:]] != key[sa[:-1]]
     rank = np.empty(n, np.int64)
-    rank[sa] = np.cumsum(new)
-    step = 8
-    while True:
-        # only suffixes that share their rank with another are sorted on
-        many = np.bincount(rank, minlength=n)[rank[sa]] > 1
-        open_at = np.flatnonzero(many)
-        if not len(open_at):
-            return sa
+    # a rank is the number of smaller ranks' suffixes: the first place of its run
+    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    alone = head & np.append(head[1:], True)
+    open_at, step = np.flatnonzero(~alone), 8
+    while len(open_at):  # only suffixes that share their rank with another are sorted on
         s = sa[open_at]
-        after = np.where(s + step < n, rank[np.minimum(s + step, n - 1)] + 1, 0)
-        order = np.lexsort((after, rank[s]))
-        s, after, own = s[order], after[order], rank[s[order]]
+        key = rank[s] * (n + 1) + np.where(s + step < n, rank[np.minimum(s + step, n - 1)] + 1, 0)
+        order = np.argsort(key)
+        s, key = s[order], key[order]
         sa[open_at] = s
-        # a rank is the number of smaller ranks' suffixes: the first place of its run
         first = np.ones(len(s), bool)
-        first[1:] = (own[1:] != own[:-1]) | (after[1:] != after[:-1])
-        place = np.maximum.accumulate(np.where(first, open_at, 0))
-        if step == 8:
-            head = np.ones(n, bool)
-            head[1:] = new[1:] > 0
-            rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-        rank[s] = place
+        first[1:] = key[1:] != key[:-1]
+        rank[s] = np.maximum.accumulate(np.where(first, open_at, 0))
+        open_at = open_at[~(first & np.append(first[1:], True))]
         step *= 2
+    return sa
 
 
 def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,27 +53,35 @@ def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge transforms to ``depth`` bytes: (the interleave as shard-major suffix numbers, the shard-major text place of each
-    number, common prefix of each entry with the one before, at most ``depth``)."""
+    number, common prefix of each entry with the one before, rounded down to even, at most ``depth``)."""
     base = np.cumsum([0, *(len(s[0]) for s in shards)])
     n = int(base[-1])
     sa = np.concatenate([s[0] + b for s, b in zip(shards, base, strict=False)])
     letter = np.concatenate([s[1] for s in shards])
     last_first = np.concatenate([(s[2] + b).astype(np.int32) for s, b in zip(shards, base, strict=False)])
+    # two bytes a round: the byte before a suffix and the one before that
+    pair = letter[last_first].astype(np.uint16) << np.uint16(8) | letter
+    two_back = last_first[last_first]
     inter = np.arange(n, dtype=np.int32)
     block = np.zeros(n, np.int32)
     prefix = np.full(n, depth, np.int16)
-    for r in range(depth):
-        c = letter[inter]
-        order = np.argsort(c, kind="stable")
-        c, block = c[order], block[order]
-        new = np.ones(n, bool)
-        new[1:] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
-        prefix[new & (prefix == depth)] = r if r else 0
-        inter = last_first[inter[order]]
-        block = np.cumsum(new, dtype=np.int32)
-        if block[-1] == n:
+    new = np.zeros(n, bool)
+    new[0] = True
+    for r in range(0, depth, 2):
+        key, back = (pair, two_back) if r + 2 <= depth else (letter, last_first)
+        k = key[inter]
+        order = np.argsort(k, kind="stable")
+        k, block, inter = k[order], block[order], back[inter[order]]
+        now = k[1:] != k[:-1]
+        now |= block[1:] != block[:-1]
+        fresh = np.flatnonzero(now > new[1:]) + 1
+        prefix[fresh] = r  # places of older borders keep theirs: later rounds only cut blocks further
+        new[1:] = now
+        if not len(fresh) and r > 8 and now.all():
             break
-    return inter, sa, np.where(_heads(block), np.minimum(prefix, depth - 1), depth)
+        np.cumsum(new, dtype=np.int32, out=block)
+    prefix[0] = 0
+    return inter, sa, prefix
 
 
 def _heads(block: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ def _heads(block: np.ndarray) -> np.ndarray:
     return head
 
 
-def repeated_minimum(strings: np.ndarray, first: np.ndarray, value: np.ndarray, depth: int, shard_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def repeated_minimum(strings: np.ndarray, first: np.ndarray, value: np.ndarray, depth: int, shard_bytes: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """For each window of ``depth`` bytes of each string, the least ``value`` of all strings that hold an equal window.
 
     ``strings``: bytes end to end, ``first``: where they begin (one more). Returns the values, string by string, and

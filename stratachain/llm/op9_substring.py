@@ -9,7 +9,8 @@ every later step meets a part's texts where they lie:
 3. Parts send the distinct segments (the windows of one shared minimizer end to end) with the smallest id that holds
    each. Where so many parts share a minimizer that its segments could overfill a task, single windows go out
    instead, dealt by their own hash.
-4. Each group builds Burrows-Wheeler transforms of shards of its segments and merges them by interleave refinement; runs
+4. A minimizer with a single form of segment is settled by its smallest id. Of all others
+   each group builds Burrows-Wheeler transforms of shards and merges them by interleave refinement; runs
    with a common prefix of ``length`` bytes are the equal windows, and give each the smallest id that has it.
 5. Parts remove the bytes that a window with a smaller id covers.
 
@@ -28,48 +29,47 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .base import Roller, _remove, mix, shared_dir, slices, staged, utf8, window_max, window_min
 from .bwt import repeated_minimum
 from .op10_bpe import documents
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 #: Bytes of text in a part, and parts that may share a minimizer before its windows go out one by one.
 PART, MANY = 16 << 20, 2000
+#: What a group merges at once: its segments by a second hash of their minimizers.
+SUBGROUPS = 32
 _NO = np.int64(2**63 - 1)
 
 
 def _parts(docs: DataFrame, part_bytes: int) -> DataFrame:
-    """``docs`` with __part, __row (its number there), __digest and __id, as a table bucketed by part."""
+    """(__id, text, __rest, __part, __row, __digest), as a table bucketed by part: ids, texts, all other columns, and the row's
+    number in its part."""
     spark = docs.sparkSession
-    kept = docs.schema.fields
-    extra = [StructField("__part", LongType()), StructField("__row", LongType())]
-    text_at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def run(batches):
         from pyspark import TaskContext
 
         number, row, held = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            data, at = utf8(batch.column(text_at))
+            data, at = utf8(batch.column(1))
             start = 0
             size = np.diff(at)
             while start < len(size):
                 room = int(np.searchsorted(at, at[start] + part_bytes - held, "right")) - 1
                 stop = min(max(room, start + (held == 0)), len(size))
                 if stop > start:
-                    part = batch.slice(start, stop - start)
-                    n = stop - start
+                    part, n = batch.slice(start, stop - start), stop - start
                     digest = [hashlib.md5(data[at[k] : at[k + 1]]).digest() for k in range(start, stop)]
-                    yield pa.record_batch([*part.columns, pa.array(np.full(n, number)), pa.array(np.arange(row, row + n)), pa.array(digest, pa.binary()), part.column(id_at).cast(pa.int64())], names=[*(f.name for f in kept), "__part", "__row", "__digest", "__id"])
+                    yield pa.record_batch([*part.columns, pa.array(np.full(n, number)), pa.array(np.arange(row, row + n)), pa.array(digest, pa.binary())], names=["__id", "text", "__rest", "__part", "__row", "__digest"])
                     row, held = row + n, held + int(at[stop] - at[start])
                 if stop < len(size):
                     number, row, held = number + 1, 0, 0
                 start = stop
 
-    schema = StructType([*kept, *extra])
-    frame = docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, __digest binary, __id long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text", F.struct(*(f"`{c}`" for c in docs.columns if c != "text")).alias("__rest"))
+    frame = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("__part", LongType()), StructField("__row", LongType()), StructField("__digest", BinaryType())]))
     name, path = f"parts_{uuid.uuid4().hex}", f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frame.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "__part").saveAsTable(name)
@@ -148,9 +148,10 @@ class _Part:
             rolled = to
             if len(own):
                 self.segment[own] = Roller(self.data[self.at[i] : self.at[j]]).ranges(self.start[own] - self.at[i], end[own] - self.at[i])
-        target = np.concatenate([mix(h), self.segment[len(start) :]]) % np.uint64(groups)
+        deal = np.concatenate([mix(h), self.segment[len(start) :]])
+        target, deal = deal % np.uint64(groups), deal >> np.uint64(32)
         self.names, one, self.which = np.unique(self.segment, return_index=True, return_inverse=True)
-        self.target = target[one].astype(np.int64)
+        self.target, self.deal = target[one].astype(np.int64), deal[one].astype(np.uint32)
         self.low = np.full(len(self.names), _NO)
         np.minimum.at(self.low, self.which, self.id[self.row])
         self.from_, self.size, self.windows = self.start[one], (end - self.start)[one], self.count[one]
@@ -227,7 +228,7 @@ def _send(part: _Part, number: int, groups: int) -> pa.Table:
             size = part.size[own]
             at = np.cumsum(size) - size
             flat = part.data[np.repeat(part.from_[own] - at, size) + np.arange(size.sum())]
-            blobs.append(_blob(part.names[own], part.low[own], size.astype(np.uint32), flat))
+            blobs.append(_blob(part.names[own], part.low[own], size.astype(np.uint32), flat, part.deal[own]))
             which.append(g)
     return pa.table({"bucket": pa.array(which, pa.int32()), "part": pa.array(np.full(len(which), number)), "sent": pa.array(blobs, pa.binary())})
 
@@ -239,14 +240,25 @@ def _resolve(table: pa.Table, length: int) -> pa.Table:
     low = np.concatenate([x[1] for x in got])
     size = np.concatenate([x[2] for x in got]).astype(np.int64)
     flat = np.concatenate([x[3] for x in got])
+    deal = np.concatenate([x[4] for x in got])
     begin = np.cumsum(size) - size
     forms, one, which = np.unique(name, return_index=True, return_inverse=True)
     least = np.full(len(forms), _NO)
     np.minimum.at(least, which, low)
-    s = size[one]
-    first = np.concatenate([[0], np.cumsum(s)])
-    strings = flat[np.repeat(begin[one] - first[:-1], s) + np.arange(first[-1])]
-    value, at = repeated_minimum(strings, first, least, length)
+    windows = size[one] - length + 1
+    at = np.concatenate([[0], np.cumsum(windows)])
+    # windows are equal in segments of one minimizer only: where that has one form, its windows are in no other
+    _, group, many = np.unique(deal[one], return_inverse=True, return_counts=True)
+    value = np.repeat(least, windows)
+    sub = np.where(many[group] > 1, deal[one] % SUBGROUPS, SUBGROUPS)
+    for b in range(SUBGROUPS):
+        own = np.flatnonzero(sub == b)
+        s = size[one[own]]
+        first = np.concatenate([[0], np.cumsum(s)])
+        strings = flat[np.repeat(begin[one[own]] - first[:-1], s) + np.arange(first[-1])]
+        v, _ = repeated_minimum(strings, first, least[own], length)
+        n = windows[own]
+        value[np.repeat(at[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = v
     out, k = [], 0
     for x in got:
         w = which[k : k + len(x[0])]
@@ -260,7 +272,7 @@ def _resolve(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "low": pa.array(out, pa.binary())})
 
 
-def _cut(part: _Part, low: pa.Table, copies: np.ndarray, groups: int, names: list[str], as_text: bool) -> pa.Table:
+def _cut(part: _Part, low: pa.Table, copies: np.ndarray, groups: int, as_text: bool) -> pa.Table:
     order = np.argsort(part.target, kind="stable")
     begin = np.searchsorted(part.target[order], np.arange(groups + 1))
     first = np.cumsum(part.windows) - part.windows
@@ -302,12 +314,13 @@ def _cut(part: _Part, low: pa.Table, copies: np.ndarray, groups: int, names: lis
     else:
         rest = pa.array(rest, pa.binary())
     made = {"n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(spans[at[1:]] - spans[at[:-1]]), "kept": rest}
-    return pa.table({c: part.table.column(c) for c in names} | made)
+    return pa.table({"__rest": part.table.column("__rest")} | made)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False, part_bytes: int = PART, many: int = MANY) -> DataFrame:
-    """``docs`` without text, and n_bytes, n_removed, n_spans (maximal runs removed), kept (the bytes that stay; with ``as_text`` a string
-    without characters that were cut in part). ``doc_id`` must be integral."""
+    """``docs`` without text, and n_bytes, n_removed, n_spans (maximal runs removed) and kept (the bytes that stay); these four
+    names are the operator's, also where ``docs`` has columns of such names. With ``as_text``: ``docs`` with the text that stays,
+    without characters that were cut in part. ``doc_id`` must be integral."""
     parts = _parts(docs, part_bytes)
     short = parts.select("__part", "__row", "__id", "__digest")
     texts = short.where("__id is not null").groupBy("__digest").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most")
@@ -344,23 +357,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False,
     sent = own.groupBy("__part").cogroup(facts.groupBy("__part")).applyInArrow(send, "bucket int, part long, sent binary")
     found = staged(sent.groupBy("bucket").applyInArrow(lambda t: _resolve(t, length), "part long, bucket int, low binary"), "found")
     facts = facts.unionByName(found.select(F.col("part").alias("__part"), none("long").alias("copy"), "bucket", none("binary").alias("flags"), "low"))
-    names = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + f", n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
+    kind = parts.schema["__rest"]
+    schema = StructType([kind, *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept", StringType() if as_text else BinaryType())])
 
     def cut(left, right):
         if not len(left):
             return _empty(schema)
         p = told(left, right)
-        return _cut(p, right.filter(right.column("low").is_valid()), _copies(right.filter(right.column("copy").is_valid())), groups, names, as_text)
+        return _cut(p, right.filter(right.column("low").is_valid()), _copies(right.filter(right.column("copy").is_valid())), groups, as_text)
 
-    return parts.drop("__digest").groupBy("__part").cogroup(facts.groupBy("__part")).applyInArrow(cut, schema)
+    out = parts.drop("__digest").groupBy("__part").cogroup(facts.groupBy("__part")).applyInArrow(cut, schema)
+    if as_text:
+        return out.select(*(F.col("kept").alias("text") if c == "text" else F.col(f"__rest.`{c}`") for c in docs.columns))
+    made = ["n_bytes", "n_removed", "n_spans", "kept"]
+    return out.select(*(F.col(f"__rest.`{c}`") for c in docs.columns if c not in ("text", *made)), *made)
 
 
-def _empty(schema: str) -> pa.Table:
+def _empty(schema: str | StructType) -> pa.Table:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema).empty_table()
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
