@@ -2,8 +2,9 @@
 
 Texts with equal shingle sets are one vertex, so copies cost one row each. Each bucket of a band first compares all
 its vertices with one of them, which joins a group of near copies in linear work; vertices of a bucket that are
-still apart are compared with a second hub, and what is then still apart is compared with every vertex of
-the bucket's other components. So no pair within a bucket is left untested unless both are already in one component.
+still apart are compared with a second hub, and for what is then still apart an exact prefix filter on the shingles
+outside the hub's set finds the pairs that can be alike. So no pair within a bucket is left open unless both are
+already in one component or a bound rules the link out.
 
 Cases: null and empty texts, and texts of white space, have no shingles and are linked with nothing; shorter texts than a
 shingle are one shingle; repeated rows are each returned, in one component; an empty table gives an empty
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import LOWER, Roller, mix, slices, staged, utf8, words
@@ -129,17 +130,58 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest long, shingles array<long>").where("digest is not null")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of digests whose full sets are alike enough."""
-    ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("digest")
-    ids = classes.join(ends, "digest").select(F.col("doc_id"))
+def _sets(vertices: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(digest, s): the full shingle sets of the vertices given, from whole texts."""
+    ids = classes.join(vertices, "digest").select("doc_id")
     sets = shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), size)
-    sets = staged(sets.join(ends, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("s")), "sets")
+    return staged(sets.join(vertices, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("s")), "sets")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a").union(pairs.select("b")).distinct().toDF("digest")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of digests whose full sets are alike enough."""
     a, b = sets.toDF("a", "s"), sets.toDF("b", "t")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("s", "t")).alias("i"), (F.size("s") + F.size("t")).alias("u"))
     return both.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("u") - F.col("i"))).select("a", "b")
 
 
+def _apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) among the members (hub, v, c: component) of each hub that lie in different components.
+
+    With c(v) shingles of v in the hub's set and A(v) those outside, x and y, c(x) <= c(y), share at most c(x) + |A(x) & A(y)|. To be
+    alike they must share p/(1+p) of both sizes, so at least T(x) of A(x): any |A(x)| - T(x) + 1 of these, the ones that
+    the fewest members have, hold one that y has too. Members so near their hub that T isn't positive are as a rule
+    linked with it; pairs of those that aren't in one component yet are all candidates.
+    """
+    one, two = sets.toDF("v", "s"), sets.toDF("hub", "t")
+    m = members.join(one, "v").join(two, "hub").select("hub", "v", "c", F.size("s").alias("n"), F.size(F.array_intersect("s", "t")).alias("near"), F.array_except("s", "t").alias("far"))
+    low = members.select("hub", "v").join(sets.select(F.col("digest").alias("v"), F.size("s").alias("n")), "v").groupBy("hub").agg(F.min("n").alias("least"))
+    home = members.where("v = hub").select("hub", F.col("c").alias("home"))
+    m = m.join(low, "hub").join(home, "hub").withColumn("t", F.ceil((F.col("n") + F.col("least")) * percent / (100.0 + percent) - F.col("near") - 1e-9))
+    m = staged(m.withColumn("k", F.size("far")).drop("least", "n"), "members")
+    after = (F.col("x.near") < F.col("y.near")) | ((F.col("x.near") == F.col("y.near")) & (F.col("x.v") < F.col("y.v")))
+    differ = after & (F.col("x.c") != F.col("y.c"))
+
+    token = m.select("hub", "v", "c", "near", "t", "k", F.explode("far").alias("g"))
+    count = token.groupBy("hub", "g").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    token = staged(token.join(count, ["hub", "g"]), "tokens")
+    w = Window.partitionBy("hub", "v")
+    asks = token.where("t > 0 and k >= t").withColumn("place", F.row_number().over(w.orderBy("m", "g"))).withColumn("alone", F.col("k") - F.count(F.lit(1)).over(w))
+    asks = asks.where("place <= k - t + 1 - alone")
+    found = asks.alias("x").join(token.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.g") == F.col("y.g")) & differ)
+
+    close = m.where("t <= 0")
+    edge = close.where("c = home").groupBy("hub").agg(F.min("near").alias("edge"))
+    strays = m.where("c != home").join(edge, "hub").where("near >= edge").drop("edge")
+    one = close.where("c != home").alias("x").join(m.alias("y"), (F.col("x.hub") == F.col("y.hub")) & differ)
+    two = close.where("c = home").alias("x").join(strays.alias("y"), (F.col("x.hub") == F.col("y.hub")) & differ)
+    ends = [F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")]
+    return found.select(*ends).union(one.select(*ends)).union(two.select(*ends)).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): ``size`` words a shingle, links from ``percent`` % Jaccard likeness on."""
     signed = staged(signatures(docs, size, bands, rows), "signatures")
@@ -150,21 +192,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     buckets = staged(spread.join(hubs, "key").select("key", "hub", F.col("digest").alias("v")), "buckets")
 
     tested = staged(buckets.where("v != hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct(), "pairs")
-    links = staged(_verified(tested, classes, docs, size, percent), "near")
+    links = staged(_verified(tested, _sets(_ends(tested), classes, docs, size), percent), "near")
     comp = components(links)
     for last in (False, True):
-        own = buckets.join(comp, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
+        own = buckets.join(comp, "v", "left").select("key", "hub", "v", F.coalesce("c", "v").alias("c"))
         apart = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
         own = own.join(apart, "key")
         if last:
-            x, y = own.select("key", "v", "c").toDF("key", "a", "x"), own.select("key", "v", "c").toDF("key", "b", "y")
-            pairs = x.join(y, "key").where("x < y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            members = own.select("hub", "v", "c").distinct()
+            sets = _sets(members.select(F.col("v").alias("digest")).union(members.select("hub")).distinct(), classes, docs, size)
+            pairs = _apart(members, sets, percent)
         else:
             second = own.where("c != low").groupBy("key").agg(F.min(F.struct("v", "c")).alias("h")).select("key", "h.v", "h.c").toDF("key", "hub", "hub_c")
-            pairs = own.join(second, "key").where("c != hub_c").select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b"))
+            pairs = own.drop("hub").join(second, "key").where("c != hub_c").select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b"))
         pairs = staged(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count():
-            more = staged(_verified(pairs, classes, docs, size, percent), "near")
+            more = staged(_verified(pairs, sets if last else _sets(_ends(pairs), classes, docs, size), percent), "near")
             if more.limit(1).count():
                 links = links.union(more)
                 comp = components(links)
