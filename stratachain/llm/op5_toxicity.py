@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .base import LOWER, Roller, held_out, slices, utf8, words
 from .op10_bpe import documents
 
-MOST_TOXIC, MOST_CLEAN = 1200, 2400
+MOST_TOXIC, MOST_CLEAN = 1000, 2000
 BUCKETS, WIDTH = 1 << 17, 8
 SHORTEST, LONGEST = 3, 6
 #: Words that count for a text.
@@ -109,12 +109,12 @@ def pooled(z: np.ndarray) -> np.ndarray:
     return np.where(on, z, 0).sum(1) / np.maximum(on.sum(1), 1)
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 60, rate: float = 0.25) -> Model | None:
+def train(texts: list[str] | pa.ChunkedArray, labels: np.ndarray, seed: int = 7, rounds: int = 60, rate: float = 0.25) -> Model | None:
     """Joint training of vectors and softmax: first every word of a text bears its label, then its top words do."""
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    data, at = utf8(pa.array(texts, pa.large_string()))
+    data, at = utf8(texts if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.large_string()))
     data, starts, ends, row, code = distinct_words(data, at)
     bag, first = bags(data, starts, ends)
     n_words, size = len(starts), np.diff(first)
@@ -129,7 +129,6 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 60,
     weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum()) * len(y)
     begin = np.searchsorted(row, np.arange(len(y) + 1))
     count = np.diff(begin)
-    word_of = np.repeat(np.arange(n_words, dtype=np.int32), size)
 
     def step(word: np.ndarray, g: np.ndarray, g_b: float) -> None:
         """g: gradient by the odds of each word given; AdaGrad, one rate for a bucket's vector."""
@@ -151,8 +150,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 60,
         bias -= rate * g_b / np.sqrt(g_bias)
 
     for r in range(rounds):
-        value = vec @ (out[:, 1] - out[:, 0])
-        odds = np.bincount(word_of, value[bag], n_words) / size
+        value = (vec @ (out[:, 1] - out[:, 0])).astype(np.float32)
+        odds = (np.add.reduceat(value[bag], first[:-1]) if n_words else np.zeros(0)) / size
         v = odds[code]
         if r < rounds // 5:
             doc = np.bincount(row, v, len(y)) / np.maximum(count, 1)
@@ -168,14 +167,14 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 60,
     return Model(vec, out, bias)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, keep) -> tuple[list[str], np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, keep) -> tuple[pa.ChunkedArray, np.ndarray]:
     """A bounded sample of labelled rows that ``keep`` admits: whole texts and their labels."""
     known = labels.where("doc_id is not null and toxic is not null").where(keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     ids = some[0].union(some[1])
     # at most MOST_TOXIC + MOST_CLEAN rows of two numbers
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    return [t or "" for t in found.column("text").to_pylist()], found.column("toxic").to_numpy()
+    return found.column("text"), found.column("toxic").to_numpy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep=None) -> Model | None:
