@@ -256,7 +256,6 @@ class Codec:
         """Start of each pretoken; they cover all bytes."""
         n = len(data)
         kind = self.ascii[data]
-        single = np.ones(n, bool)  # the byte is a whole character
         high = np.flatnonzero(data >= 0xC0)
         if len(high):
             lead = data[high]
@@ -270,7 +269,6 @@ class Codec:
             for k in (1, 2, 3):
                 on = size > k
                 kind[high[on] + k] = got[on]
-            single = data < 0x80
         first = np.zeros(n + 1, bool)
         first[offsets] = True
         start = np.ones(n, bool)
@@ -302,7 +300,6 @@ class Codec:
                 nxt = q + size
                 nxt = nxt[nxt < n]
                 start[nxt] = True
-        del single
         return np.flatnonzero(start)
 
     # -- merging
