@@ -37,7 +37,7 @@ from .op10_bpe import documents
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a part, and parts that may share a minimizer before its windows go out one by one.
-PART, MANY = 16 << 20, 2000
+PART, MANY = 12 << 20, 2000
 #: What a group merges at once: its segments by a second hash of their minimizers.
 SUBGROUPS = 32
 _NO = np.int64(2**63 - 1)
