@@ -2,8 +2,10 @@
 
 Lines, paragraphs and the whole text are each a unit. A unit is normalised (A-Z lowered, all but a-z, 0-9 and inner dots blank),
 cut to words, and compared by its set of bigrams with the templates whose size the Dice bound admits: with likeness t a
-unit of n bigrams can only match templates of n*t/(2-t) to n*(2-t)/t bigrams. Texts without any word
-that a match must hold aren't cut up at all. Everything happens within a row; nothing is shuffled.
+unit of n bigrams can only match templates of n*t/(2-t) to n*(2-t)/t bigrams. Besides, all stretches of the text that have
+as many bigrams as a template, at every position, over line ends and comment marks, are compared with it in the same way, so that a notice
+is found inside a longer line. Texts without any word that a match must hold aren't cut up at all. Everything happens within a row;
+nothing is shuffled. The SQL knows the units only: it finds the same or less.
 
 Cases: null and empty texts, and units of one word, match nothing (no id, score 0); of templates that match a unit equally well the
 first id in order counts; repeated rows are scanned each; an empty table gives an empty result; only ``doc_id`` and
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,10 +56,14 @@ TEMPLATES = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _bigrams(text: str) -> list[str]:
+def _pairs(text: str) -> list[str]:
     text = re.sub(r"[^a-z0-9.]+", " ", text.translate(str.maketrans(_UPPER, _LOWER)))
     words = [w for w in re.sub(r"\.+( |$)", " ", text).split(" ") if w]
-    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def _bigrams(text: str) -> list[str]:
+    return list(dict.fromkeys(_pairs(text)))
 
 
 def compiled(templates: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
@@ -75,24 +82,54 @@ def anchors(made: list[tuple[str, list[str]]], like: float = LIKE) -> str:
     return f"(?i)(?<![a-z0-9])(?:{'|'.join(map(re.escape, sorted(words)))})(?![a-z0-9])"
 
 
-def _grams(unit: Column) -> Column:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often a lambda in ``use`` asks for it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sequence(unit: Column) -> Column:
+    """All bigrams in order, repeats too; null where there is none."""
     text = F.regexp_replace(F.translate(unit, _UPPER, _LOWER), "[^a-z0-9.]+", " ")
     words = F.filter(F.split(F.regexp_replace(text, r"\.+( |$)", " "), " "), lambda w: w != "")
     size = F.size(words)
-    return F.when(size > 1, F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(size - 1, F.lit(0))), F.slice(words, 2, F.greatest(size - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))))
+    return F.when(size > 1, F.zip_with(F.slice(words, 1, F.greatest(size - 1, F.lit(0))), F.slice(words, 2, F.greatest(size - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def _windows(grams: Column, templates: Column, known: Column, like: float) -> Column:
+    """(score, id) of every stretch of ``grams`` as long as a template and at least so like it. ``known``: all templates' bigrams."""
+
+    def windows(t: Column, hits: Column) -> Column:
+        # a match holds t["need"] bigrams of the template; starts are all from which so many lie within its length
+        dense = F.filter(F.sequence(F.lit(0), F.size(hits) - t["need"]), lambda k: hits[k + t["need"] - 1] - hits[k] < t["length"])
+        starts = F.array_distinct(F.flatten(F.transform(dense, lambda k: F.sequence(F.greatest(hits[k] - t["length"] + 1, F.lit(0)), F.least(hits[k], F.size(grams) - t["length"])))))
+        dice = lambda w: F.struct((F.size(F.array_intersect(w, t["grams"])) * 2.0 / (F.size(w) + t["n"])).alias("score"), t["id"].alias("id"))
+        return F.filter(F.transform(starts, lambda i: _let(F.array_distinct(F.slice(grams, i + 1, t["length"])), dice)), lambda d: d["score"] >= like)
+
+    def placed(t: Column) -> Column:
+        return _let(F.filter(F.transform(grams, lambda g, p: F.when(F.array_contains(t["grams"], g), p)), lambda p: p.isNotNull()), lambda hits: windows(t, hits))
+
+    def fitting(some: Column) -> Column:
+        fits = F.filter(templates, lambda t: (t["length"] <= F.size(grams)) & (F.size(F.array_intersect(some, t["grams"])) >= t["need"]))
+        return F.flatten(F.transform(fits, placed))
+
+    return _let(F.array_intersect(grams, known), fitting)
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, like: float = LIKE, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns``, license_id (best match), score (its Dice coefficient, 0 without match), licenses (all matching ids, by comma)."""
     made = compiled(templates if templates is not None else TEMPLATES)
-    table = F.array(*(F.struct(F.lit(k).alias("id"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("n")) for k, g in made))
+    by_id = templates if templates is not None else TEMPLATES
+    lengths = [len(p) for k in sorted(by_id) for t in by_id[k] if (p := _pairs(t))]
+    need = lambda g: math.ceil(len(g) * like / (2 - like) - 1e-9)
+    table = F.array(*(F.struct(F.lit(k).alias("id"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("n"), F.lit(m).alias("length"), F.lit(need(g)).alias("need")) for (k, g), m in zip(made, lengths, strict=True)))
+    known = F.array(*map(F.lit, sorted({x for _, g in made for x in g})))
     least, most = min(len(g) for _, g in made), max(len(g) for _, g in made)
     low, high = like / (2 - like), (2 - like) / like
     text = F.coalesce("text", F.lit(""))
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n"), F.array(text)))
     pattern = anchors(made, like)
     some = F.when(text.rlike(pattern), F.filter(units, lambda u: u.rlike(pattern))).otherwise(F.array().cast("array<string>"))
-    grams = F.filter(F.transform(some, _grams), lambda g: g.isNotNull() & F.size(g).between(least * low, most * high))
+    grams = F.filter(F.transform(some, lambda u: F.array_distinct(_sequence(u))), lambda g: g.isNotNull() & F.size(g).between(least * low, most * high))
 
     def matched(g: Column) -> Column:
         fits = F.filter(F.col("_templates"), lambda t: (t["n"] >= F.size(g) * low) & (t["n"] <= F.size(g) * high))
@@ -101,7 +138,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, like: f
 
     # the best of all: the highest score, then the first id
     best = F.aggregate("_hits", F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("id")), lambda a, d: F.when((d["score"] > a["score"]) | ((d["score"] == a["score"]) & (d["id"] < a["id"])), d).otherwise(a))
-    out = docs.select(*columns, "text").withColumn("_templates", table).select(*columns, F.flatten(F.transform(grams, matched)).alias("_hits"))
+    inside = F.when(text.rlike(pattern), _let(F.coalesce(_sequence(text), F.array().cast("array<string>")), lambda g: _windows(g, F.col("_templates"), known, like)))
+    hits = F.concat(F.flatten(F.transform(grams, matched)), F.coalesce(inside, F.array().cast("array<struct<score:double,id:string>>")))
+    out = docs.select(*columns, "text").withColumn("_templates", table).select(*columns, hits.alias("_hits"))
     out = out.withColumn("_best", best)
     return out.select(*columns, F.col("_best.id").alias("license_id"), F.round("_best.score", 6).alias("score"), F.array_join(F.array_sort(F.array_distinct(F.transform("_hits", lambda d: d["id"]))), ",").alias("licenses"))
 

@@ -164,6 +164,37 @@ def test_license_against_its_sql(spark):
     assert op8_license.scan(docs.limit(0)).count() == 0
 
 
+def _windowed(text):
+    """(id, score) of template-sized windows, by trying every position."""
+    w, found = op8_license._pairs(text), {}
+    for k, texts in op8_license.TEMPLATES.items():
+        for t in map(op8_license._pairs, texts):
+            for i in range(len(w) - len(t) + 1):
+                a, b = set(w[i : i + len(t)]), set(t)
+                if (d := 2 * len(a & b) / (len(a) + len(b))) >= op8_license.LIKE:
+                    found[k] = max(found.get(k, 0), d)
+    return found
+
+
+def test_license_inside_longer_lines(spark):
+    mit = op8_license.TEMPLATES["MIT"][2].split()
+    wrapped = "".join(f" * {' '.join(mit[k : k + 9])}\n *\n" for k in range(0, len(mit), 9))
+    rows = [
+        (1, "Copyright (c) 2020 Foo Ltd. All rights reserved."),
+        (2, "This project is licensed under the MIT License."),
+        (3, "A sentence of prose that says what it is about. Released under the MIT License. And more."),
+        (4, f"/* Foo, a program\n *\n{wrapped} * Some more words follow here and do not matter\n */ int main;"),
+        (5, "word " * 5000 + "this one is licensed under CC BY-SA 4.0 they say " + "word " * 5000),
+        (6, "the general public likes software under a license of version 2 and all rights are reserved"),
+        (7, "code licensed under the Apache License, Version 2.0 and docs licensed under CC BY 4.0 too, all rights reserved by us"),
+    ]
+    got = {r.doc_id: r for r in op8_license.scan(documents(spark, rows=rows)).collect()}
+    assert {i: got[i].licenses for i, _ in rows} == {1: "Proprietary", 2: "MIT", 3: "MIT", 4: "MIT", 5: "CC-BY-SA-4.0", 6: "", 7: "Apache-2.0,CC-BY-4.0,Proprietary"}
+    for i, t in rows:
+        want = _windowed(t)
+        assert got[i].licenses == ",".join(sorted(want)) and got[i].score == pytest.approx(max(want.values(), default=0), abs=1e-6)
+
+
 def test_license_anchors_lose_nothing():
     made = op8_license.compiled(op8_license.TEMPLATES)
     import re
