@@ -5,7 +5,9 @@ notices, adverts, forms, comments and other page furniture, by element, role, cl
 A page without main text is made of its open blocks: the token streams of a host's pages are put end to end, their suffixes
 ordered (by prefix doubling), and runs of at least ``RUN`` tokens that begin in distinct pages are boilerplate; unique
 runs stay. Runs that repeat inside an article aren't removed: an article that quotes or copies another is still the page's main text.
-A host's pages are dealt into groups of at most ``PAGES`` by a hash of the page, so that a hot host is many tasks.
+A host's pages are dealt into groups of about ``PAGES`` by a hash of the page's id, so that a hot host is many tasks. Each group orders its own
+suffixes; the distinct runs of all groups of a host, by a 128-bit key, are then merged, so that a run repeats where two pages of the host
+have it, in whatever groups they are.
 
 Cases: null and empty html, and pages of furniture only, give the empty text; unclosed elements and a page cut short end with the page;
 repeated rows are distinct pages of equal id and don't count as repetition of each other; a null url is a host of its own; an
@@ -14,6 +16,7 @@ empty table gives an empty result; further columns aren't read.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -23,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .base import staged
+
 RUN = 8
 PAGES = 512
 
@@ -131,13 +136,11 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated_runs(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
-    """Which tokens of each stream a string of ``run`` tokens covers that another stream has too: the suffixes of all
-    streams in order, by doubling, and their first ``run`` tokens compared."""
-    size = np.array([len(s) for s in streams])
+def _ordered(streams: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size of each stream; for each token the rank of the ``run`` tokens from it, -1 where the stream ends before; and for each
+    rank whether two streams have it: the suffixes of all streams in order, by doubling."""
+    size = np.array([len(s) for s in streams], np.int64)
     n = int(size.sum())
-    if n < run:
-        return [np.zeros(k, bool) for k in size]
     stream = np.repeat(np.arange(len(size)), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(n)
     rank, _ = pd.factorize(np.array([t for s in streams for t in s], object))
@@ -151,13 +154,33 @@ def repeated_runs(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     low, high = np.full(n, n), np.full(n, -1)
     np.minimum.at(low, rank[full], stream[full])
     np.maximum.at(high, rank[full], stream[full])
-    hit = np.flatnonzero(full & (low[rank] < high[rank]))
-    mark = np.zeros(n + 1, np.int64)
+    return size, np.where(full, rank, -1), low < high
+
+
+def _covered(size: np.ndarray, rank: np.ndarray, repeats: np.ndarray, run: int) -> list[np.ndarray]:
+    """Which tokens of each stream lie in a run whose rank repeats."""
+    hit = np.flatnonzero((rank >= 0) & repeats[rank])
+    mark = np.zeros(len(rank) + 1, np.int64)
     np.add.at(mark, hit, 1)
     np.add.at(mark, hit + run, -1)
     return np.split(np.cumsum(mark[:-1]) > 0, np.cumsum(size)[:-1])
 
 
+def repeated_runs(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
+    """Which tokens of each stream a string of ``run`` tokens covers that another stream has too."""
+    size, rank, many = _ordered(streams, run)
+    return _covered(size, rank, many, run)
+
+
+def _run_keys(host: str, streams: list[list[str]], rank: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks of all distinct runs, and 128-bit keys (two numbers) of each run and its host."""
+    tokens = [t for s in streams for t in s]
+    full = np.flatnonzero(rank >= 0)
+    ranks, first = np.unique(rank[full], return_index=True)
+    keys = b"".join(hashlib.blake2b("\n".join([*tokens[p : p + run], host]).encode(), digest_size=16).digest() for p in full[first].tolist())
+    return ranks, np.frombuffer(keys, np.int64).reshape(-1, 2) if keys else np.zeros((0, 2), np.int64)
+
+
 def _unique_text(open_blocks: list[str], covered: np.ndarray, run: int) -> str:
     """The blocks without their covered stretches. A stretch counts where it is a whole block or ``run`` tokens of one, so that a
     notice doesn't take along the common words at the start of the next block."""
@@ -197,24 +220,45 @@ def extract(pages: DataFrame, run: int = RUN, most: int = PAGES) -> DataFrame:
     parsed = _parsed(pages)
     kind = pages.schema["page_id"].dataType.simpleString()
     done = parsed.where("main != ''").select("page_id", "url", F.col("main").alias("text"))
-    # only pages with open blocks go on, without their main text; hosts of many are dealt out
-    loose = parsed.where("main = '' or size(open) > 0").select("page_id", "url", "host", (F.col("main") == "").alias("wanted"), "open")
+    # only pages with open blocks go on, without their main text; hosts of many are dealt out, all rows of an id to one group
+    loose = staged(parsed.where("main = '' or size(open) > 0").select("page_id", "url", "host", (F.col("main") == "").alias("wanted"), "open"), "pages")
     hosts = loose.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    dealt = loose.join(hosts.select("host", F.ceil(F.col("n") / most).alias("k")), "host").withColumn("deal", F.pmod(F.xxhash64("page_id", "url"), F.col("k")))
+    dealt = loose.join(hosts.select("host", F.ceil(F.col("n") / most).alias("k")), "host").withColumn("deal", F.pmod(F.xxhash64("page_id"), F.col("k")))
 
-    def clean(table: pa.Table) -> pa.Table:
-        open_, wanted = table.column("open").to_pylist(), table.column("wanted").to_pylist()
-        ids = table.column("page_id").to_pylist()
+    def streams(table: pa.Table) -> tuple[list, list, dict, list[int], list[list[str]]]:
+        open_, ids = table.column("open").to_pylist(), table.column("page_id").to_pylist()
         first = {i: k for k, i in reversed(list(enumerate(ids)))}
         own = [k for k, i in enumerate(ids) if first[i] == k]  # a repeated row isn't another page
-        streams = [[w for b in open_[k] for w in b.split()] for k in own]
-        cover = {ids[k]: c for k, c in zip(own, repeated_runs(streams, run), strict=True)}
+        return open_, ids, first, own, [[w for b in open_[k] for w in b.split()] for k in own]
+
+    def runs(table: pa.Table) -> pa.Table:
+        *_, own = streams(table)
+        _, rank, many = _ordered(own, run)
+        ranks, keys = _run_keys(table.column("host")[0].as_py(), own, rank, run)
+        host, deal = (pa.array([table.column(c)[0].as_py()] * len(ranks), table.schema.field(c).type) for c in ("host", "deal"))
+        return pa.table({"host": host, "deal": deal, "high": pa.array(keys[:, 0]), "low": pa.array(keys[:, 1]), "many": pa.array(many[ranks])})
+
+    def cleaned(table: pa.Table, repeated: pa.Table | None = None) -> pa.Table:
+        open_, ids, first, own, pages = streams(table)
+        size, rank, repeats = _ordered(pages, run)
+        if repeated is not None:  # what repeats on the whole host
+            known = set(zip(repeated.column("high").to_pylist(), repeated.column("low").to_pylist(), strict=True))
+            ranks, keys = _run_keys(table.column("host")[0].as_py(), pages, rank, run)
+            repeats[ranks] = [k in known for k in map(tuple, keys.tolist())]
+        cover = {ids[k]: c for k, c in zip(own, _covered(size, rank, repeats, run), strict=True)}
         texts = [_unique_text(open_[k], cover[i] if first[i] == k or open_[first[i]] == open_[k] else np.zeros(sum(len(b.split()) for b in open_[k]), bool), run) for k, i in enumerate(ids)]
-        keep = [k for k, w in enumerate(wanted) if w]
+        keep = [k for k, w in enumerate(table.column("wanted").to_pylist()) if w]
         return pa.table({"page_id": table.column("page_id").take(keep), "url": table.column("url").take(keep), "text": pa.array([texts[k] for k in keep], pa.string())})
 
-    found = dealt.groupBy("host", "deal").applyInArrow(clean, f"page_id {kind}, url string, text string")
-    return done.unionByName(found).withColumn("n_chars", F.length("text").cast("long"))
+    schema = f"page_id {kind}, url string, text string"
+    whole = dealt.where("k = 1").groupBy("host").applyInArrow(lambda table: cleaned(table), schema)
+    parts = dealt.where("k > 1")
+    found = parts.groupBy("host", "deal").applyInArrow(runs, "host string, deal long, high long, low long, many boolean")
+    # an id lies in one group, so a run of two groups is one of two pages
+    found = found.groupBy("host", "high", "low").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many"), F.collect_list("deal").alias("deals")).where("many or n > 1")
+    found = found.select("host", F.explode("deals").alias("deal"), "high", "low")
+    dealt_out = parts.groupBy("host", "deal").cogroup(found.groupBy("host", "deal")).applyInArrow(lambda table, repeated: cleaned(table, repeated), schema)
+    return done.unionByName(whole).unionByName(dealt_out).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,3 +40,19 @@ def test_host_boilerplate_goes_where_no_article_is(spark):
     assert got == {(i, t := f"page number {i} tells story {i * 7} of its own", len(t)) for i in range(3)} | {(9, "", 0), (10, "alone", 5)}
     assert extract(pages).count() == 6
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_host_boilerplate_goes_however_pages_are_dealt(spark):
+    notice = "<div>this site uses many small files to remember who you are today</div>"
+    menu = "<div>start shop news press jobs contact terms imprint</div>"
+    body = lambda i: f"<p>page number {i} tells story {i * 7} of its own</p>"
+    rows = [(i, f"http://h.example/{i}", (notice if i in (3, 17) else "") + body(i) + (menu if i % 6 == 0 else "")) for i in range(24)]
+    rows += [(3, "http://h.example/3", notice + body(3)), (30, "http://h.example/30", "<p>a text of eight words that comes twice here</p>"), (30, "http://h.example/30", "<p>a text of eight words that comes twice here</p>")]
+    rows += [(40 + i, f"http://other.example/{i}", notice + body(40 + i)) for i in range(1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(tuple(r) for r in extract(pages).collect())
+    assert {t for i, _, t, _ in want if i < 30} == {f"page number {i} tells story {i * 7} of its own" for i in range(24)}
+    assert [t for i, _, t, _ in want if i == 30] == ["a text of eight words that comes twice here"] * 2
+    assert [t for i, _, t, _ in want if i == 40] == [f"this site uses many small files to remember who you are today page number 40 tells story {40 * 7} of its own"]
+    for most in (1, 2, 5):
+        assert sorted(tuple(r) for r in extract(pages, most=most).collect()) == want
