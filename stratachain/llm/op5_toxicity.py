@@ -1,9 +1,9 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (with word ends); its vector is the mean of the n-grams' vectors, and a
-linear softmax over the vector gives its odds. A text is as toxic as the words that speak most for it: the
-mean of its ``TOP`` highest distinct words' odds goes into the score, so a long text doesn't drown a few words, and a misspelt
-or inflected form that never occurred in training is scored by the n-grams that it shares.
+linear softmax over the vector gives its odds. A text's odds are the mean of its ``TOP`` highest distinct words' odds and, where it is above 0,
+the mean of all distinct words' odds: a text of many mildly toxic words is more toxic than one of two, and a long harmless text doesn't
+drown a few words. A misspelt or inflected form that never occurred in training is scored by the n-grams that it shares.
 
 Training rows are a bounded sample of the labelled rows (``MOST_TOXIC`` toxic and ``MOST_CLEAN`` others, by hash of the id);
 whole texts, labels only from rows that aren't held out. Scoring takes every row, and reads its text only.
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from .base import LOWER, Roller, held_out, slices, utf8, words
 from .op10_bpe import documents
 
-MOST_TOXIC, MOST_CLEAN = 1000, 2000
+MOST_TOXIC, MOST_CLEAN = 1200, 2400
 BUCKETS, WIDTH = 1 << 17, 8
 SHORTEST, LONGEST = 3, 6
-#: Words that count for a text.
+#: Words that count for a text besides the mean of all.
 TOP = 2
 CUT = 0.7
 
@@ -87,12 +87,13 @@ class Model:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         data, starts, ends, row, code = distinct_words(data, offsets)
-        z = np.full((n, TOP), -1e9)
+        z, mean = np.full((n, TOP), -1e9), np.zeros(n)
         if len(code):
             odds = self.odds(*bags(data, starts, ends))
             pair = np.unique(row * np.int64(len(odds)) + code)
             row, code = pair // len(odds), pair % len(odds)
             v = odds[code]
+            mean = np.bincount(row, v, n) / np.maximum(np.bincount(row, minlength=n), 1)
             for k in range(TOP):
                 np.maximum.at(z[:, k], row, v)
                 if k + 1 < TOP:  # take one word that has the most
@@ -100,7 +101,7 @@ class Model:
                     _, one = np.unique(row[hit], return_index=True)
                     v = v.copy()
                     v[hit[one]] = -1e9
-        return 1 / (1 + np.exp(-np.clip(pooled(z) + self.bias, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(pooled(z) + np.maximum(mean, 0) + self.bias, -50, 50)))
 
 
 def pooled(z: np.ndarray) -> np.ndarray:
@@ -109,18 +110,36 @@ def pooled(z: np.ndarray) -> np.ndarray:
     return np.where(on, z, 0).sum(1) / np.maximum(on.sum(1), 1)
 
 
+def training_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams of all distinct words, where each word's begin, and the (row, word number) of each row's distinct words, slice by slice."""
+    known, of, got, firsts = pd.Index(np.zeros(0, np.uint64)), [], [], [np.zeros(1, np.int64)]
+    for i, j in slices(at):
+        part, starts, ends, row, code = distinct_words(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        if not len(starts):
+            continue
+        h = Roller(part).ranges(starts, ends)
+        new = np.flatnonzero(known.get_indexer(h) < 0)
+        known = known.append(pd.Index(h[new]))
+        bag, first = bags(part, starts[new], ends[new])
+        got.append(bag)
+        firsts.append(firsts[-1][-1] + first[1:])
+        pair = np.unique(row * np.int64(len(h)) + code)
+        of.append(np.stack([pair // len(h) + i, known.get_indexer(h)[pair % len(h)]]))
+    row, code = np.concatenate(of, 1) if of else np.zeros((2, 0), np.int64)
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    return np.concatenate(got) if got else np.zeros(0, np.int32), np.concatenate(firsts), row, code
+
+
 def train(texts: list[str] | pa.ChunkedArray, labels: np.ndarray, seed: int = 7, rounds: int = 60, rate: float = 0.25) -> Model | None:
-    """Joint training of vectors and softmax: first every word of a text bears its label, then its top words do."""
+    """Joint training of vectors and softmax: first every word of a text bears its label, then its top words do, and all where their mean is above 0."""
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return None
     data, at = utf8(texts if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.large_string()))
-    data, starts, ends, row, code = distinct_words(data, at)
-    bag, first = bags(data, starts, ends)
-    n_words, size = len(starts), np.diff(first)
-    pair = np.unique(row * np.int64(n_words) + code)
-    row, code = pair // n_words, pair % n_words
-    del data, starts, ends
+    bag, first, row, code = training_words(data, at)
+    n_words, size = len(first) - 1, np.diff(first)
+    del data
     rng = np.random.default_rng(seed)
     vec = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     out = np.stack([np.full(WIDTH, -0.5), np.full(WIDTH, 0.5)], 1)
@@ -136,9 +155,11 @@ def train(texts: list[str] | pa.ChunkedArray, labels: np.ndarray, seed: int = 7,
         on = np.zeros(n_words)
         np.add.at(on, word, g)
         share = on / size
-        hit = np.flatnonzero(on)
-        take = np.repeat(first[hit] - np.concatenate([[0], np.cumsum(size[hit])[:-1]]), size[hit]) + np.arange(size[hit].sum())
-        s = np.bincount(bag[take], np.repeat(share[hit], size[hit]), BUCKETS)  # gradient by each bucket's odds
+        touched, s = np.flatnonzero(on), np.zeros(BUCKETS)  # s: gradient by each bucket's odds
+        for k in range(0, len(touched), 16384):
+            hit = touched[k : k + 16384]
+            take = np.repeat(first[hit] - np.concatenate([[0], np.cumsum(size[hit])[:-1]]), size[hit]) + np.arange(size[hit].sum())
+            s += np.bincount(bag[take], np.repeat(share[hit], size[hit]), BUCKETS)
         w = out[:, 1] - out[:, 0]
         d_vec_norm = s * s * (w @ w)
         d_w = s @ vec
@@ -153,8 +174,8 @@ def train(texts: list[str] | pa.ChunkedArray, labels: np.ndarray, seed: int = 7,
         value = (vec @ (out[:, 1] - out[:, 0])).astype(np.float32)
         odds = (np.add.reduceat(value[bag], first[:-1]) if n_words else np.zeros(0)) / size
         v = odds[code]
+        doc = np.bincount(row, v, len(y)) / np.maximum(count, 1)
         if r < rounds // 5:
-            doc = np.bincount(row, v, len(y)) / np.maximum(count, 1)
             err = (1 / (1 + np.exp(-(doc + bias))) - y) * weight
             step(code, err[row] / np.maximum(count, 1)[row], err.sum())
             continue
@@ -162,8 +183,9 @@ def train(texts: list[str] | pa.ChunkedArray, labels: np.ndarray, seed: int = 7,
         place = np.arange(len(row)) - begin[row[order]]
         top = order[place < TOP]
         z = np.bincount(row[top], v[top], len(y)) / np.maximum(np.minimum(count, TOP), 1)
-        err = (1 / (1 + np.exp(-np.clip(z + bias, -50, 50))) - y) * weight
-        step(code[top], err[row[top]] / np.minimum(count, TOP)[row[top]], err.sum())
+        err = (1 / (1 + np.exp(-np.clip(z + np.maximum(doc, 0) + bias, -50, 50))) - y) * weight
+        above = np.flatnonzero((doc > 0)[row])
+        step(np.concatenate([code[top], code[above]]), np.concatenate([err[row[top]] / np.minimum(count, TOP)[row[top]], err[row[above]] / count[row[above]]]), err.sum())
     return Model(vec, out, bias)
 
 

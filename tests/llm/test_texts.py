@@ -113,6 +113,30 @@ def test_toxicity_finds_unseen_forms(spark):
     assert op5_toxicity.scored(probe.limit(0), model).count() == 0
 
 
+def test_toxicity_spread_over_many_words_raises_the_score():
+    rng = np.random.default_rng(6)
+    clean = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(200)]
+    mild = ["".join(rng.choice(list("qrstuvwxyz"), 6)) for _ in range(40)]
+    text = lambda n: " ".join([*rng.choice(clean, 30 - n, replace=False), *rng.choice(mild, n, replace=False)])
+    model = op5_toxicity.train([text(10 if k % 2 else 1) for k in range(200)], np.arange(200) % 2)
+    texts = [" ".join([*mild[:2], *rest]) for rest in (clean[:20], mild[2:22])]
+    data, at = op5_toxicity.utf8(op5_toxicity.pa.array(texts))
+    words_of = lambda t: op5_toxicity.distinct_words(*op5_toxicity.utf8(op5_toxicity.pa.array([t])))
+    odds = [model.odds(*op5_toxicity.bags(*words_of(t)[:3])) for t in texts]
+    want = [1 / (1 + math.exp(-(np.sort(o)[-2:].mean() + max(o.mean(), 0) + model.bias))) for o in odds]
+    got = model.score(data, at)
+    assert got == pytest.approx(want) and odds[1].mean() > 0 and got[1] > got[0]
+
+
+def test_toxicity_training_words_by_slices(monkeypatch):
+    data, at = op5_toxicity.utf8(op5_toxicity.pa.array(["One two one", "", "two three", None, "four ONE two"]))
+    whole = op5_toxicity.training_words(data, at)
+    monkeypatch.setattr(op5_toxicity, "slices", lambda at: ((k, k + 1) for k in range(len(at) - 1)))
+    for a, b in zip(whole, op5_toxicity.training_words(data, at), strict=True):
+        assert a.tolist() == b.tolist()
+    assert list(zip(whole[2].tolist(), whole[3].tolist(), strict=True)) == [(0, 0), (0, 1), (2, 1), (2, 2), (4, 0), (4, 1), (4, 3)]
+
+
 def _winnowed(text, k=op6_fingerprint.GRAM, w=op6_fingerprint.WINDOW):
     b = np.frombuffer(text.encode(), np.uint8)
     if not len(b):
