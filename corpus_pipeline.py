@@ -24,9 +24,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near duplicates (five words a shingle, Jaccard likeness of 0.8 or more).
-    Of rows with one id one stays; rows without id stay."""
-    kept = op4_neardup.near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    Rows are known by id and text, so that different texts of one id are kept or go each by itself; of one id's near copies that of the
+    smallest hash stays, of rows with equal id and text the least by all columns. Rows without id stay."""
+    text = F.xxhash64("text")
+    key = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), text.alias("hash")))
+    kept = op4_neardup.near_duplicates(docs.select(key.alias("doc_id"), "text"), size=5, percent=80).where("kept").select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.hash").alias("_hash")).distinct()
+    rows = docs.where("doc_id is not null").withColumn("_hash", text).join(kept, ["doc_id", "_hash"], "left_semi")
+    one = rows.groupBy("doc_id", "_hash").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
+    return one.select(*(F.col(f"_row.`{c}`") for c in docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,3 +89,13 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(total[0].asDict())
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeats", "packing"]
     assert op5_toxicity.CUT == 0.7
+
+
+def test_near_duplicates_keep_rows_of_clashing_ids(spark):
+    text = lambda a: " ".join(f"{a}{k}" for k in range(40))
+    rows = [(3, text("a"), "en"), (7, text("a"), "en"), (7, text("b"), "en"), (9, text("c"), "en"), (9, text("d"), "en"), (11, text("e"), "fr"), (11, text("e"), "en"), (12, text("f"), "en"), (12, text("f") + " tail", "en"), (None, text("a"), "en"), (13, None, "en"), (13, "", "en"), (13, None, "en")]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+        got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+        assert len(got) == 9 and len([r for r in got if r[0] == 12]) == 1
+        assert {r for r in got if r[0] != 12} == {(3, text("a"), "en"), (7, text("b"), "en"), (9, text("c"), "en"), (9, text("d"), "en"), (11, text("e"), "en"), (None, text("a"), "en"), (13, None, "en"), (13, "", "en")}
