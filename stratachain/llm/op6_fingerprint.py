@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .base import Roller, slices, utf8, window_min
 from .op10_bpe import documents
 
-GRAM, WINDOW = 24, 64
+GRAM, WINDOW = 12, 24
 
 
 def winnow(data: np.ndarray, offsets: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

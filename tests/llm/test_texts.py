@@ -172,6 +172,16 @@ def test_fingerprints_against_brute_force(spark):
     assert op6_fingerprint.fingerprints(docs).count() == len(texts)
 
 
+def test_fingerprints_of_short_texts_keep_their_likeness():
+    rng = np.random.default_rng(9)
+    line = lambda n: "".join(rng.choice(list("abcdefghijklmnop "), n))
+    for n in range(70, 87):  # half of the text is equal: 35 bytes or more
+        t, u = line(n), line(n)
+        marks = [op6_fingerprint.winnow(np.frombuffer(x.encode(), np.uint8), np.array([0, n])) for x in (t, t[: n - n // 2] + u[: n // 2], u)]
+        same = [float(op6_fingerprint.likeness(marks[0][::2], m[::2])[0]) for m in marks]
+        assert same[0] == 1 and 0 < same[1] < 1 and same[2] == 0
+
+
 def test_license_against_its_sql(spark):
     import duckdb
 
