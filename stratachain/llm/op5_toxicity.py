@@ -6,15 +6,16 @@ the mean of all distinct words' odds: a text of many mildly toxic words is more
 drown a few words. A misspelt or inflected form that never occurred in training is scored by the n-grams that it shares.
 
 Training rows are a bounded sample of the labelled rows (``MOST_TOXIC`` toxic and ``MOST_CLEAN`` others, by hash of the id);
-whole texts, labels only from rows that aren't held out. Scoring takes every row, and reads its text only.
+whole texts, labels only from rows that aren't held out. Executors cut them to their distinct words and one task trains on these, so
+that no text reaches the driver. Scoring takes every row, and reads its text only.
 
-Cases: null, empty and white-space texts score as the model's bias without words; repeated rows are scored each; with
+Cases: null, empty and white-space texts score as the model's bias without words; repeated rows are scored each, and are one row of training; of an
+id's different texts the least in order trains; with
 no labelled rows of both kinds every text scores 0; an empty table gives an empty result; further columns aren't read.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,6 +26,8 @@ from .base import LOWER, Roller, held_out, slices, utf8, words
 from .op10_bpe import documents
 
 MOST_TOXIC, MOST_CLEAN = 1200, 2400
+#: Bytes of training text cut to words at once.
+TRAINING_SLICE = 1 << 19
 BUCKETS, WIDTH = 1 << 17, 8
 SHORTEST, LONGEST = 3, 6
 #: Words that count for a text besides the mean of all.
@@ -76,7 +79,7 @@ class Model:
 
     def __init__(self, vectors: np.ndarray, out: np.ndarray, bias: float):
         self.vectors, self.out, self.bias = vectors, out, bias
-        self.value = (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32)
+        self.value = np.einsum("ij,j->i", vectors, out[:, 1] - out[:, 0]).astype(np.float32)
 
     def odds(self, bag: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Log odds of each word without the bias."""
@@ -113,7 +116,7 @@ def pooled(z: np.ndarray) -> np.ndarray:
 def training_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """N-grams of all distinct words, where each word's begin, and the (row, word number) of each row's distinct words, slice by slice."""
     known, of, got, firsts = pd.Index(np.zeros(0, np.uint64)), [], [], [np.zeros(1, np.int64)]
-    for i, j in slices(at):
+    for i, j in slices(at, TRAINING_SLICE):
         part, starts, ends, row, code = distinct_words(data[at[i] : at[j]], at[i : j + 1] - at[i])
         if not len(starts):
             continue
@@ -131,6 +134,18 @@ def training_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(got) if got else np.zeros(0, np.int32), np.concatenate(firsts), row, code
 
 
+def _top(v: np.ndarray, row: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Places of each row's ``TOP`` highest values, of equal ones the first."""
+    some, left, out = np.flatnonzero(np.diff(begin)), v.copy(), [np.zeros(0, np.int64)]
+    for _ in range(TOP if len(some) else 0):
+        best = np.zeros(len(begin) - 1)
+        best[some] = np.maximum.reduceat(left, begin[some])
+        hit = np.flatnonzero((left == best[row]) & (left > -np.inf))
+        out.append(hit[np.diff(row[hit], prepend=-1) > 0])
+        left[out[-1]] = -np.inf
+    return np.concatenate(out)
+
+
 def train(texts: list[str] | pa.ChunkedArray, labels: np.ndarray, seed: int = 7, rounds: int = 60, rate: float = 0.25) -> Model | None:
     """Joint training of vectors and softmax: first every word of a text bears its label, then its top words do, and all where their mean is above 0."""
     y = np.asarray(labels, np.float64)
@@ -162,7 +177,7 @@ def train(texts: list[str] | pa.ChunkedArray, labels: np.ndarray, seed: int = 7,
             s += np.bincount(bag[take], np.repeat(share[hit], size[hit]), BUCKETS)
         w = out[:, 1] - out[:, 0]
         d_vec_norm = s * s * (w @ w)
-        d_w = s @ vec
+        d_w = np.einsum("i,ij->j", s, vec)  # not by BLAS, whose threads would take other tasks' cores
         g_vec[:] += d_vec_norm
         vec[:] -= (rate * s / np.sqrt(g_vec))[:, None] * w
         g_out += float(d_w @ d_w)
@@ -171,7 +186,7 @@ def train(texts: list[str] | pa.ChunkedArray, labels: np.ndarray, seed: int = 7,
         bias -= rate * g_b / np.sqrt(g_bias)
 
     for r in range(rounds):
-        value = (vec @ (out[:, 1] - out[:, 0])).astype(np.float32)
+        value = np.einsum("ij,j->i", vec, out[:, 1] - out[:, 0]).astype(np.float32)
         odds = (np.add.reduceat(value[bag], first[:-1]) if n_words else np.zeros(0)) / size
         v = odds[code]
         doc = np.bincount(row, v, len(y)) / np.maximum(count, 1)
@@ -179,9 +194,7 @@ def train(texts: list[str] | pa.ChunkedArray, labels: np.ndarray, seed: int = 7,
             err = (1 / (1 + np.exp(-(doc + bias))) - y) * weight
             step(code, err[row] / np.maximum(count, 1)[row], err.sum())
             continue
-        order = np.lexsort((-v, row))
-        place = np.arange(len(row)) - begin[row[order]]
-        top = order[place < TOP]
+        top = _top(v, row, begin)
         z = np.bincount(row[top], v[top], len(y)) / np.maximum(np.minimum(count, TOP), 1)
         err = (1 / (1 + np.exp(-np.clip(z + np.maximum(doc, 0) + bias, -50, 50))) - y) * weight
         above = np.flatnonzero((doc > 0)[row])
@@ -189,18 +202,47 @@ def train(texts: list[str] | pa.ChunkedArray, labels: np.ndarray, seed: int = 7,
     return Model(vec, out, bias)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, keep) -> tuple[pa.ChunkedArray, np.ndarray]:
-    """A bounded sample of labelled rows that ``keep`` admits: whole texts and their labels."""
+def training_rows(docs: DataFrame, labels: DataFrame, keep) -> DataFrame:
+    """(doc_id, text, toxic) of a bounded sample of labelled rows that ``keep`` admits; ``text`` bears each distinct word of the whole text once."""
     known = labels.where("doc_id is not null and toxic is not null").where(keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
-    ids = some[0].union(some[1])
     # at most MOST_TOXIC + MOST_CLEAN rows of two numbers
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    return found.column("text"), found.column("toxic").to_numpy()
+    found = docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id")
+
+    def shorten(batches):
+        for batch in batches:
+            data, at = utf8(batch.column(1))
+            for i, j in slices(at, TRAINING_SLICE):
+                part, starts, ends, row, code = distinct_words(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                word = [part[x:y].tobytes() for x, y in zip(starts, ends, strict=True)]
+                pair = np.unique(row * np.int64(max(len(word), 1)) + code)
+                of, begin = pair % max(len(word), 1), np.searchsorted(pair // max(len(word), 1), np.arange(j - i + 1))
+                text = [b" ".join(word[k] for k in of[x:y]).decode(errors="replace") for x, y in zip(begin, begin[1:], strict=False)]
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(text, pa.string()), batch.column(2).slice(i, j - i)], names=["doc_id", "text", "toxic"])
+
+    short = found.mapInArrow(shorten, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, toxic {labels.schema['toxic'].dataType.simpleString()}")
+    return short.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep=None) -> Model | None:
-    return train(*training_rows(docs, labels, keep if keep is not None else F.lit(True)))
+    """Trains in one task, whose rows ``MOST_TOXIC`` and ``MOST_CLEAN`` bound; the driver gets the weights only."""
+
+    def run(batches):
+        texts, toxic = [], []
+        for batch in batches:
+            texts.append(batch.column(0))
+            toxic.append(batch.column(1).to_numpy())
+        model = train(pa.chunked_array(texts, pa.string()), np.concatenate(toxic)) if texts else None
+        if model is not None:
+            yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (model.vectors.astype(np.float32), model.out, np.float64(model.bias))], names=["vectors", "out", "bias"])
+
+    rows = training_rows(docs, labels, keep if keep is not None else F.lit(True))
+    one = rows.repartition(1).sortWithinPartitions("doc_id").select("text", F.col("toxic").cast("double").alias("toxic"))
+    made = one.mapInArrow(run, "vectors binary, out binary, bias binary").collect()
+    if not made:
+        return None
+    vectors, out, bias = (np.frombuffer(x, kind) for x, kind in zip(made[0], (np.float32, np.float64, np.float64), strict=True))
+    return Model(vectors.reshape(BUCKETS, WIDTH), out.reshape(WIDTH, 2), float(bias[0]))
 
 
 def scored(docs: DataFrame, model: Model | None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
