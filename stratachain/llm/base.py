@@ -7,6 +7,7 @@ Python worker's memory doesn't grow with the partition it reads.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,11 +22,11 @@ SLICE = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset (tests), a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.conf.get("stratachain.shared.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one if all run on this machine (tests), and an error on a cluster."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("stratachain.shared.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="stratachain-")
         spark.conf.set("stratachain.shared.dir", where)
     return where.rstrip("/")

@@ -167,8 +167,10 @@ def test_fingerprints_against_brute_force(spark):
         got = sorted((r.doc_id, r.n_chars, r.edited_sha256, [tuple(x) for x in op6_fingerprint.parse(r.fingerprint).tolist()], [tuple(x) for x in op6_fingerprint.parse(r.edited_fingerprint).tolist()], r.near_edited, r.near_next) for r in op6_fingerprint.compare_edited(docs, ranges).collect())
         assert got == sorted(want)
     assert op6_fingerprint.compare_edited(docs.limit(0), 3).count() == 0
-    one = op6_fingerprint.compare_edited(docs.where("doc_id = 6").limit(1), 3).collect()
-    assert len(one) == 1 and one[0].near_next == 1
+    one = op6_fingerprint.compare_edited(docs.where("doc_id = 14").limit(1), 3).collect()
+    assert len(one) == 1 and one[0].near_next == 1 and one[0].doc_id == 14 and one[0].near_edited <= 1
+    text = dict(collected(docs))[14]
+    assert one[0].edited_sha256 == hashlib.sha256((text[: len(text) - len(text) // 2] + text[: len(text) // 2]).encode()).hexdigest()
     assert op6_fingerprint.fingerprints(docs).count() == len(texts)
 
 
