@@ -1,4 +1,4 @@
-"""Labels of intervals and quantile groups, and number formatting. Plain Python: labels are made when a plan is made."""
+"""Labels of intervals and quantile groups, and number formatting. Labels are made when a plan is made, but for breaks that are computed."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from dataclasses import dataclass
 from decimal import ROUND_HALF_EVEN, Decimal
 from fractions import Fraction
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 BOUNDEDNESS = ("unbounded", "bounded", "boundedbelow", "boundedabove")
 _SCALES = {"metric": [(1e12, "T"), (1e9, "G"), (1e6, "M"), (1e3, "K")], "finance": [(1e12, "t"), (1e9, "b"), (1e6, "m"), (1e3, "k")]}
 
@@ -52,6 +55,21 @@ class Style:
             s = f"({s})" if self.parens else f"-{s}"
         return self.prefix + s + self.suffix
 
+    def column(self, x: Column) -> Column:
+        """``number`` of a real-valued Column; without mixed fractions and conversions."""
+        v, unit = x * float(self.scale), F.lit("")
+        for size, name in reversed(_SCALES.get(self.autoscale, [])):
+            unit = F.when(F.abs(x * float(self.scale)) >= size, F.lit(name)).otherwise(unit)
+            v = F.when(F.abs(x * float(self.scale)) >= size, x * float(self.scale) / size).otherwise(v)
+        s = F.format_number(F.abs(v), 6 if self.precision < 0 else self.precision)
+        s = s if self.commas else F.replace(s, F.lit(","), F.lit(""))
+        if self.precision == -1 if self.stripzeros is None else self.stripzeros:
+            s = F.regexp_replace(s, r"\.?0*$", "") if self.precision else s
+        sign = (v < 0) & s.rlike("[1-9]")
+        s = F.concat(s, unit)
+        s = F.when(sign, F.concat(F.lit("("), s, F.lit(")")) if self.parens else F.concat(F.lit("-"), s)).otherwise(s)
+        return F.concat(F.lit(self.prefix), s, F.lit(self.suffix))
+
 
 def interval_labels(breaks: list, integral: bool, boundedness: str = "unbounded", leftequal: bool = True, absolute: bool = False, rank: bool = True, ranksep: str = ". ", label: str = "", compact: bool | None = None, reverse: bool = False, style: Style | None = None) -> list[str]:
     """One label for each interval between sorted breaks, the outer ones as ``boundedness`` has them.

@@ -1,14 +1,16 @@
 """From syntax tree to Spark Columns.
 
 A spec is lowered against a frame, the columns that partition it (the left context, or the keys of an aggregation) and an order.
-Reductions become aggregates over a window of the partition; in an aggregation the outermost ones become aggregates of the
-``groupBy``, and windows below them are staged as columns first. A reduction over the whole frame is one row, broadcast.
+Reductions become aggregates of a ``groupBy`` by the partition, combined map-side, and joined back null-safe; those over the whole
+frame are one row, broadcast. In an aggregation the outermost ones become aggregates of its own ``groupBy``. A reduction of nested
+groups is two aggregations, by partition and groups and then by partition. Windows are for what depends on order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 from itertools import count
 from typing import Any
 
@@ -38,6 +40,25 @@ def temp(what: str = "v") -> str:
     return f"__{what}_{next(_numbers)}"
 
 
+def groupings(node: Node) -> list[Grouped] | None:
+    """The nested groupings that an expression is made of; None where it reads anything else than these and literals."""
+    match node:
+        case Grouped():
+            return [node]
+        case Lit() | Sym():
+            return []
+        case And(a, b) | Or(a, b):
+            inner = [a, b]
+        case Arr(items):
+            inner = items
+        case Call(name, args) if (op := registry.op(name)) and op.host is None and op.shape in ("elementwise", "filter", "map") and name not in ("in", "∉", "∈", "topnames"):
+            inner = args
+        case _:
+            return None
+    found = [groupings(x) for x in inner]
+    return None if None in found else [g for f in found for g in f]
+
+
 def needs_rows(*nodes: Node) -> bool:
     """Whether a spec depends on the order in which rows come."""
     for node in nodes:
@@ -76,7 +97,7 @@ class Lowerer:
         self.keys = tuple(keys)
         self.env = Env(tuple(c(k) for k in keys), tuple(order))
         self.known = known or {}
-        self.pending: list[tuple[str, Column]] = []
+        self.pending: dict[Any, tuple[tuple[Column, ...], list[tuple[str, Column]]]] = {}
         self.groups: dict[tuple, Val] = {}  # nested groupings that are staged already
 
     # -- frame
@@ -88,11 +109,20 @@ class Lowerer:
         return c(name)
 
     def flush(self) -> None:
-        """Compute pending whole-frame aggregates in one pass and give each row the one row of them."""
-        if self.pending:
-            one = self.df.agg(*(col.alias(name) for name, col in self.pending))
-            self.pending = []
-            self.df = self.df.crossJoin(F.broadcast(one))
+        """Compute pending aggregates, in one pass for each partitioning, and give each row those of its partition."""
+        base, waiting, self.pending = self.df, self.pending, {}
+        for parts, aggs in waiting.values():
+            names = [temp("j") for _ in parts]
+            cols = [col.alias(name) for name, col in aggs]
+            self.attach(parts, names, base.groupBy(*(p.alias(n) for p, n in zip(parts, names, strict=True))).agg(*cols))
+
+    def attach(self, parts: Sequence[Column], names: Sequence[str], values: DataFrame, *more: Column) -> None:
+        """Join ``values``, a row for each combination of ``names``, to the rows of the parts; without parts it is one row."""
+        if not parts and not more:
+            self.df = self.df.crossJoin(F.broadcast(values))
+            return
+        on = reduce(lambda a, b: a & b, [*(p.eqNullSafe(c(n)) for p, n in zip(parts, names, strict=True)), *more])
+        self.df = self.df.join(values, on, "left").drop(*names)
 
     def dtype(self, col: Column) -> T.DataType:
         self.flush()
@@ -102,16 +132,13 @@ class Lowerer:
         """How an aggregate Column becomes a value here."""
         if env.final:
             return lambda a: a
-        if env.parts:
-            w = Window.partitionBy(*env.parts)
-            return lambda a: a.over(w)
 
-        def whole(a: Column) -> Column:
+        def later(a: Column) -> Column:
             name = temp("g")
-            self.pending.append((name, a))
+            self.pending.setdefault(tuple(map(str, env.parts)), (env.parts, []))[1].append((name, a))
             return c(name)
 
-        return whole
+        return later
 
     def sort(self, env: Env) -> list[Column]:
         """Sort keys: missing last ascending, first descending; ties by row."""
@@ -189,9 +216,35 @@ class Lowerer:
         order = tuple(x for k in cols for x in (k.isNull(), k))
         return Val(self.stage(v.col), self.stage(first, "f"), order, False, False)
 
+    def two_phase(self, node: Call, env: Env) -> Column | None:
+        """A reduction that reads nothing but nested groups: aggregated by partition and groups, then by partition; None for any other."""
+        found = groupings(node.args[0]) if node.args else None
+        if not found or any(g in self.known for g in found) or len({g.keys for g in found}) > 1:
+            return None
+        seen = ("reduce", node, self.target, env.order, tuple(map(str, env.parts)))
+        if seen not in self.groups:
+            by = []
+            for k in found[0].keys:
+                v = self.value(k, replace(env, final=False))
+                by.append(self.stage(v.col, "k") if v.window else v.col)
+            self.flush()
+            low = Lowerer(self.df, self.keys, self.target, (), self.row, self.known)
+            inner = {g: low.value(g.inner, Env((*env.parts, *by), env.order, True)).col for g in dict.fromkeys(found)}
+            low.flush()
+            parts, keys, made = [temp("j") for _ in env.parts], [temp("k") for _ in by], {g: temp() for g in inner}
+            groups = low.df.groupBy(*(p.alias(n) for p, n in zip((*env.parts, *by), (*parts, *keys), strict=True))).agg(*(col.alias(made[g]) for g, col in inner.items()))
+            high = Lowerer(groups, parts, known=made)
+            name = temp("g")
+            outer = high.value(node, Env(tuple(map(c, parts)), tuple(OrderKey(k, False) for k in keys), True)).col.alias(name)
+            high.flush()
+            self.attach(env.parts, parts, high.df.groupBy(*map(c, parts)).agg(outer))
+            self.groups[seen] = name
+        value = c(self.groups[seen])
+        return F.first(value) if env.final else value
+
     def settled(self, v: Val, env: Env) -> Val:
-        """``v`` fit for an aggregate: windows are staged where the aggregate is of a groupBy or of the whole frame."""
-        if v.window and (env.final or not env.parts):
+        """``v`` fit for an aggregate: windows and what other aggregates have made are staged."""
+        if v.window:
             return replace(v, col=self.stage(v.col), flag=None if v.flag is None else self.stage(v.flag, "f"), window=False)
         return v
 
@@ -206,6 +259,8 @@ class Lowerer:
         inner = replace(env, final=False)
         if node.name == "wmeanfallback":
             return Val(self.wmeanfallback(node, env), window=not env.final)
+        if (made := self.two_phase(node, env)) is not None:
+            return Val(made, window=not env.final)
         v = self.settled(self.value(node.args[0], inner), env) if node.args else Val(F.lit(1))
         over = self.over(env)
         rest = [self.constant(a) for a in node.args[1:]]
@@ -230,7 +285,12 @@ class Lowerer:
         x, kind = self.number(v.col)
         v = replace(v, col=x)
         out = self.np(v, over, F.product(v.masked), 1)
-        return out.cast("long") if isinstance(kind, INTEGRAL) else out
+        return self.exact(out, "prod", self.np(v, over, F.min(F.abs(v.masked)), 1) == 0) if isinstance(kind, INTEGRAL) else out
+
+    def exact(self, x: Column, who: str, zero: Column) -> Column:
+        """A whole number computed as a real one: an error where that can't be exact. A factor of zero makes it zero, whatever the others."""
+        error = F.raise_error(F.lit(f"{who}: the product of whole numbers is beyond 2^53; make them real numbers for a rounded one"))
+        return F.when(zero, F.lit(0).cast("long")).when(F.abs(x) <= 2.0**53, x.cast("long")).when(x.isNotNull(), error.cast("long"))
 
     def r_mean(self, v, over, env):
         v = replace(v, col=self.number(v.col)[0])
@@ -314,7 +374,7 @@ class Lowerer:
     def r_countuniq(self, v, over, env, skipna=True, skipempty=False):
         v = self._blanked(v, skipempty)
         x = v.masked
-        n = over(F.count_distinct(x)) if env.final else F.size(over(F.collect_set(x)))
+        n = over(F.count_distinct(x))
         out = n if skipna else n + (over(self.rows(v)) > over(F.count(x))).cast("int")
         return out.cast("long")
 
@@ -384,8 +444,9 @@ class Lowerer:
 
     def m_cumprod(self, v, w, env):
         x, kind = self.number(v.col)
-        out = self._running(replace(v, col=x), w, F.product(x))
-        return out.cast("long") if isinstance(kind, INTEGRAL) else out
+        v = replace(v, col=x)
+        out = self._running(v, w, F.product(x))
+        return self.exact(out, "cumprod", self._running(v, w, F.min(F.abs(x))) == 0) if isinstance(kind, INTEGRAL) else out
 
     def m_lag(self, v, w, env, n=1, default=None):
         f = F.lag if n >= 0 else F.lead
@@ -429,7 +490,7 @@ class Lowerer:
             raise SpecError("discretize: breaks and quantiles or ngroups are mutually exclusive", "invalid_spec")
         items = breaks.items if isinstance(breaks, Arr) else (breaks,)
         if not all(isinstance(i, Lit) for i in items):
-            return self._by_moving(v, x, items, env, boundedness, leftequal, rank, ranksep, Style(**style))
+            return self._by_moving(x, items, env, boundedness, bucketstrs, look)
         b = sorted(i.value for i in items)
         if not b:
             raise SpecError("discretize: give at least one break", "invalid_spec")
@@ -458,32 +519,42 @@ class Lowerer:
         thresholds = over(F.percentile(y, F.array(*map(F.lit, inner))))
         return F.when(x.isNotNull(), F.element_at(F.array(*map(F.lit, names)), self._bucket(y, thresholds, leftequal)))
 
-    def _by_moving(self, v, x, items, env, boundedness, leftequal, rank, ranksep, style) -> Column:
-        """Breaks that are computed: labels are put together row by row, in the compact form for real numbers."""
+    def _by_moving(self, x: Column, items, env: Env, boundedness: str, bucketstrs, look: dict[str, Any]) -> Column:
+        """Breaks that are computed: labels are put together row by row, as ``interval_labels`` names intervals of real numbers."""
+        style, leftequal, label = look["style"], look["leftequal"], look["label"]
+        if style.mixedfraction or style.conversion:
+            raise SpecError("discretize: mixedfraction and conversion need literal breaks", "invalid_spec", "discretize")
         breaks = F.array_sort(F.array(*(self.value(i, replace(env, final=False)).col.cast("double") for i in items)))
         below, above = boundedness in ("unbounded", "boundedabove"), boundedness in ("unbounded", "boundedbelow")
-
-        def num(b):
-            b = b * float(style.scale)
-            whole = F.when(b == F.floor(b), b.cast("long").cast("string")).otherwise(F.bround(b, 6).cast("string"))
-            return F.concat(F.lit(style.prefix), whole, F.lit(style.suffix))
-
+        compact = label == "" if look["compact"] is None else look["compact"]
         n, k = len(items), self._bucket(x, breaks, leftequal) - 1  # breaks passed
+        count = n - 1 + below + above
         at = lambda i: F.element_at(breaks, i)
         if not above:
             k = F.when(x == at(F.lit(n)), n - 1).otherwise(k)
         if not below:
             k = F.when(x == at(F.lit(1)), 1).otherwise(k)
-        top = F.lit(False) if above else k == n - 1
-        bottom = F.lit(False) if below else k == 1
-        left = F.when(bottom | F.lit(leftequal), "[").otherwise("(")
-        right = F.when(top | F.lit(not leftequal), "]").otherwise(")")
-        name = F.when(k == 0, F.concat(F.lit("<" if leftequal else "≤"), num(at(F.lit(1))))).when(k == n, F.concat(F.lit("≥" if leftequal else ">"), num(at(F.lit(n)))))
-        name = name.otherwise(F.concat(left, num(at(F.greatest(k, F.lit(1)))), F.lit(","), num(at(F.least(k + 1, F.lit(n)))), right))
-        width = len(str(n - 1 + below + above))
-        name = F.concat(F.lpad((k + int(below)).cast("string"), width, " "), F.lit(ranksep), name) if rank else name
-        out = F.lit(True) if below else k > 0
-        return F.when(x.isNotNull() & out & (F.lit(True) if above else k < n), name)
+        inside = x.isNotNull() & (F.lit(True) if below else k > 0) & (F.lit(True) if above else k < n)
+        if bucketstrs:
+            if len(bucketstrs) != count:
+                raise SpecError(f"discretize: {count} labels are needed, got {len(bucketstrs)}", "invalid_spec")
+            return F.when(inside, F.element_at(F.array(*map(F.lit, bucketstrs)), k + int(below)))
+        with_hi = (F.lit(False) if above else k == n - 1) | F.lit(not leftequal)
+        with_lo = (F.lit(False) if below else k == 1) | F.lit(leftequal)
+        first, last = style.column(at(F.lit(1))), style.column(at(F.lit(n)))
+        lo, hi = style.column(at(F.greatest(k, F.lit(1)))), style.column(at(F.least(k + 1, F.lit(n))))
+        less, more = "<" if leftequal else "≤", "≥" if leftequal else ">"
+        if compact:
+            under, over, middle = F.concat(F.lit(less), first), F.concat(F.lit(more), last), F.concat(F.when(with_lo, "[").otherwise("("), lo, F.lit(","), hi, F.when(with_hi, "]").otherwise(")"))
+        else:
+            name = f"|{label}|" if look["absolute"] else label
+            under, over = F.concat(F.lit(f"{name} {less} "), first), F.concat(last, F.lit(f" {'≤' if leftequal else '<'} {name}"))
+            middle = F.concat(lo, F.when(with_lo, " ≤ ").otherwise(" < "), F.lit(name), F.when(with_hi, " ≤ ").otherwise(" < "), hi)
+        out = F.when(k == 0, under).when(k == n, over).otherwise(middle)
+        if look["rank"]:
+            place = F.lit(count) - (k + int(below)) + 1 if look["reverse"] else k + int(below)
+            out = F.concat(F.lpad(place.cast("string"), len(str(count)), " "), F.lit(look["ranksep"]), out)
+        return F.when(inside, out)
 
     def quantiles(self, v: Val, qs: Node | None, env: Env, ngroups=None, leftequal=True, prefix="", suffix="") -> Column:
         if qs is not None and ngroups is not None:
@@ -573,12 +644,25 @@ class Lowerer:
             inner = replace(env, final=False)
             y = self.settled(self.value(coll, inner), env)
             over = self.over(env)
-            hit = F.array_contains(over(F.collect_set(y.masked)), v.col)
+            if env.final:
+                hit = F.array_contains(over(F.collect_set(y.masked)), v.col)
+            else:
+                v = self.settled(v, env)
+                hit = self.held(v.col, y, env)
             gap = F.lit(False) if y.skip else over(self.rows(y)) > over(F.count(y.masked))
             found = F.when(hit, True).when(v.col.isNotNull() & ~gap, False)
             v = replace(v, window=True)
         return replace(v, col=~found if negate else found)
 
+    def held(self, x: Column, y: Val, env: Env) -> Column:
+        """Whether y's values in the row's partition hold x: a join with the distinct ones, which are never gathered in a task."""
+        self.flush()
+        parts, value, mark = [temp("j") for _ in env.parts], temp("j"), temp("f")
+        known = self.df.select(*(p.alias(n) for p, n in zip(env.parts, parts, strict=True)), y.masked.alias(value)).where(c(value).isNotNull()).distinct()
+        self.attach(env.parts, parts, known.withColumn(mark, F.lit(True)), x == c(value))
+        self.df = self.df.drop(value)
+        return F.coalesce(c(mark), F.lit(False))
+
     def scalar(self, name: str, x: list[Column], kw: dict[str, Any], node: Call) -> Column:
         a, b = x[0], x[1] if len(x) > 1 else None
         if name in ("==", "!=", "<", "<=", ">", ">="):
@@ -598,9 +682,10 @@ class Lowerer:
             return F.when(b == 0, a * F.lit(INF)).otherwise(a / b)
         if name == "^":
             (a, ka), (b, kb) = map(self.number, x)
-            out = F.pow(a, b)
-            whole = isinstance(ka, INTEGRAL) and isinstance(kb, INTEGRAL)
-            return out.cast("long") if whole else out
+            if not (isinstance(ka, INTEGRAL) and isinstance(kb, INTEGRAL)):
+                return F.pow(a, b)
+            n = node.args[1].value if isinstance(node.args[1], Lit) else None
+            return self.exact(F.pow(a, b), "^", F.lit(False)) if n is None or not 0 < n < 64 else self.multiplied(a.cast("long"), n)
         if name in ("log", "log2", "log10"):
             base, v = (None, a) if b is None else (a, b)
             v = self.number(v)[0].cast("double")
@@ -612,10 +697,18 @@ class Lowerer:
             return F.abs(self.number(a)[0])
         if name in ("round", "floor", "ceil"):
             a, kind = self.number(a)
-            digits = kw.get("digits", 0)
+            digits, base, f = kw.get("digits", 0), kw.get("base", 10), {"round": F.rint, "floor": F.floor, "ceil": F.ceil}[name]
+            if "sigdigits" in kw:
+                if "digits" in kw:
+                    raise SpecError(f"{name}: digits and sigdigits are mutually exclusive", "invalid_spec", name)
+                a = a.cast("double")
+                size = F.floor(F.log10(F.abs(a)) if base == 10 else F.log(F.abs(a)) / F.log(F.lit(float(base))))
+                return F.when((a == 0) | F.isnan(a) | (F.abs(a) == INF), a).otherwise(self.rounded(f, a, F.lit(kw["sigdigits"] - 1) - size, base))
             if isinstance(kind, INTEGRAL) and digits >= 0:
                 return a
             a = a.cast("double")
+            if base != 10:
+                return self.rounded(f, a, F.lit(digits), base).cast("double")
             if name == "round":
                 return F.rint(a) if digits == 0 else F.bround(a, digits)
             f = F.floor if name == "floor" else F.ceil
@@ -641,11 +734,31 @@ class Lowerer:
             return F.concat(year, F.lit(delim), F.date_format(a, "MM"))
         raise SpecError(f"no lowering of '{name}'", "unknown_op", name)
 
+    @staticmethod
+    def multiplied(a: Column, n: int) -> Column:
+        """a to the power of n >= 1 in whole numbers, by squaring."""
+        out = None
+        while n:
+            if n & 1:
+                out = a if out is None else out * a
+            n >>= 1
+            a = a * a if n else a
+        return out
+
+    @staticmethod
+    def rounded(f: Callable[[Column], Column], x: Column, digits: Column, base: int) -> Column:
+        """x brought to a multiple of base to the power of -digits by ``f``."""
+        up, down = F.pow(F.lit(float(base)), digits), F.pow(F.lit(float(base)), -digits)
+        return F.when(digits >= 0, f(x * up) / up).otherwise(f(x / down) * down)
+
     def hosted(self, op: registry.OpDef, node: Call, env: Env) -> Val:
         kw = {k: self.constant(v) for k, v in node.kwargs}
         if op.shape == "reduce":
             vals = [self.settled(self.value(a, replace(env, final=False)), env) for a in node.args]
-            return Val(self.over(env)(op.host(*(v.masked for v in vals), **kw)), window=not env.final)
+            own = op.host(*(v.masked for v in vals), **kw)
+            if env.final or not env.parts:
+                return Val(self.over(env)(own), window=not env.final)
+            return Val(own.over(Window.partitionBy(*env.parts)), window=True)  # a pandas UDF can't be aggregated along with others
         vals = [self.value(a, env) for a in node.args]
         if op.shape == "elementwise":
             return self.joined(vals, op.host(*(v.col for v in vals), **kw))
