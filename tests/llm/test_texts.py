@@ -79,13 +79,31 @@ def test_near_duplicates_against_all_pairs(spark):
         rows.append((300 + k, " ".join(own)))
     docs = documents(spark, rows=rows)
     want = _near([(i, t) for i, t in rows], 2, 80)
-    got = op4_neardup.near_duplicates(docs, size=2, bands=60, rows=2).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+    for own in ({}, {"bands": 60, "rows": 2}):  # the query's bands, and ones that put much into a bucket that isn't alike
+        got = op4_neardup.near_duplicates(docs, size=2, **own).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
     assert op4_neardup.near_duplicates(docs.limit(0), size=2).count() == 0
 
 
+def test_residual_index_loses_no_link(spark):
+    """All pairs of a family that are alike, and not both linked with the hub, stand in the index and pass its bounds."""
+    rng = np.random.default_rng(11)
+    hub = rng.integers(-(2**62), 2**62, 60)
+    sets = {b"\0": hub.tolist()}
+    for k in range(1, 90):
+        own = hub[rng.random(60) > rng.uniform(0.02, 0.3)].tolist()
+        sets[bytes([k])] = [*own, *(int(x) for x in rng.choice(40, rng.integers(0, 14), replace=False))]
+    frame = spark.createDataFrame([(bytearray(k), v) for k, v in sets.items()], "digest binary, s array<long>")
+    members = frame.select(F.lit(bytearray(b"\0")).alias("hub"), F.col("digest").alias("v"))
+    index = op4_neardup._residuals(members, frame, 80).withColumn("c", F.col("v"))
+    got = {(bytes(r.a), bytes(r.b)) for r in op4_neardup._paired(index, index, 80, F.col("x.v") < F.col("y.v")).collect()}
+    alike = lambda a, b: 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))
+    want = {(a, b) for a in sets for b in sets if b"\0" < a < b and alike(a, b) and not (alike(a, b"\0") and alike(b, b"\0"))}
+    assert want and want <= got and len(got) < 90 * 89 / 6
+
+
 def test_superminhash_estimates_likeness():
     rng = np.random.default_rng(3)
     both, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (160, 20, 20))
