@@ -335,6 +335,32 @@ def transform_pipeline(spark, folder):
     return out.withColumn("total", F.round("total", 2))
 
 
+# -- further forms
+
+simple("dim_replace", "orders", "o_orderkey o_orderstatus o_totalprice", ["o_orderstatus", ("o_totalprice", "o_totalprice - minimum(o_totalprice)")], "o_orderkey o_totalprice",
+       "SELECT o_orderkey, round(o_totalprice - min(o_totalprice) OVER (PARTITION BY o_orderstatus), 4) AS o_totalprice FROM orders", 4, replace=True)
+simple("dim_dotted_juxtaposed", "lineitem", "l_orderkey l_linenumber l_quantity l_discount l_extendedprice", ("x", "2l_quantity .+ l_extendedprice .* (1 .- l_discount)"), "l_orderkey l_linenumber x",
+       "SELECT l_orderkey, l_linenumber, round(2 * l_quantity + l_extendedprice * (1 - l_discount), 4) AS x FROM lineitem", 4)
+simple("dim_countuniq_of_all", "orders", "o_orderkey o_custkey", ("k", "countuniq(o_custkey)"), "o_orderkey k",
+       "SELECT o_orderkey, (SELECT count(DISTINCT o_custkey) FROM orders) AS k FROM orders")
+simple("dim_in_group", "lineitem", "l_orderkey l_linenumber l_suppkey l_partkey l_returnflag", ["l_returnflag", ("hit", "l_suppkey in l_partkey")], "l_orderkey l_linenumber hit",
+       "SELECT l_orderkey, l_linenumber, EXISTS (SELECT 1 FROM (SELECT DISTINCT l_returnflag, l_partkey FROM lineitem) p WHERE p.l_returnflag = l.l_returnflag AND p.l_partkey = l.l_suppkey) AS hit FROM lineitem l")
+simple("dim_discretize_moving_labels", "customer", "c_custkey c_mktsegment c_acctbal", ["c_mktsegment", ("d", 'discretize(c_acctbal, [0, mean(c_acctbal)], label = "Balance", reverse = true, precision = 1, commas = true)')], "c_custkey d", """
+WITH a AS (SELECT *, format('{:,.1f}', round(avg(c_acctbal) OVER (PARTITION BY c_mktsegment), 1)) AS m, avg(c_acctbal) OVER (PARTITION BY c_mktsegment) AS mean FROM customer)
+SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '3. Balance < 0.0' WHEN c_acctbal < mean THEN '2. 0.0 ≤ Balance < ' || m ELSE '1. ' || m || ' ≤ Balance' END AS d FROM a""")
+simple("dim_discretize_moving_buckets", "customer", "c_custkey c_nationkey c_acctbal", ["c_nationkey", ("d", 'discretize(c_acctbal, [median(c_acctbal), maximum(c_acctbal)], bucketstrs = ["low", "high"], boundedness = :boundedabove)')], "c_custkey d",
+       "SELECT c_custkey, CASE WHEN c_acctbal < quantile_cont(c_acctbal, 0.5) OVER (PARTITION BY c_nationkey) THEN 'low' ELSE 'high' END AS d FROM customer")
+simple("dim_integer_power", "nation", "n_nationkey n_regionkey", ["n_regionkey", ("p", "n_nationkey^11 + cumprod(n_nationkey + 1) |> orderby(n_nationkey)")], "n_nationkey p",
+       "SELECT n_nationkey, (CAST(n_nationkey AS HUGEINT) ** 11)::BIGINT + product(n_nationkey + 1) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING)::BIGINT AS p FROM nation")
+simple("dim_sigdigits", "orders", "o_orderkey o_totalprice", ("r", "round(o_totalprice, sigdigits = 3)"), "o_orderkey r",
+       "SELECT o_orderkey, round(o_totalprice / pow(10, floor(log10(o_totalprice)) - 2)) * pow(10, floor(log10(o_totalprice)) - 2) AS r FROM orders")
+
+
+@query("agg_integer_product", "SELECT n_regionkey, product(n_nationkey + 1)::BIGINT AS p, (product(2 * n_nationkey - 7))::BIGINT AS q FROM nation GROUP BY 1")
+def agg_integer_product(spark, folder):
+    return agg(table(spark, folder, "nation", "n_nationkey", "n_regionkey"), "n_regionkey", cols=[("n_nationkey", "prod(_ + 1)", "p"), ("n_nationkey", "prod(2_ - 7)", "q")])
+
+
 # -- host operators
 
 
