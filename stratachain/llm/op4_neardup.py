@@ -1,10 +1,12 @@
 """MinHash near-dedup by SuperMinHash: signatures, banding, verification on full sets, union-find grouping.
 
-Texts with equal shingle sets are one vertex, so copies cost one row each. Each bucket of a band first compares all
-its vertices with one of them, which joins a group of near copies in linear work; vertices of a bucket that are
-still apart are compared with a second hub, and for what is then still apart an exact prefix filter on the shingles
-outside the hub's set finds the pairs that can be alike. So no pair within a bucket is left open unless both are
-already in one component or a bound rules the link out.
+Texts with equal shingle sets (by a 128-bit digest) are one vertex, so copies cost one row each. Each bucket of a band first compares all
+its vertices with one of them, the hub, which joins a group of near copies in linear work; vertices of a bucket that are
+still apart are compared with a second hub. What is then still apart is told by its residual: the shingles in which a vertex
+and its hub differ. Two that are alike share about half of their residuals, though members of one family share little
+of them. So an inverted index on the rarest shingles of residuals has small groups; each compares its vertices with one of
+them, again and again while that joins any, and the pairs still apart in a group that exact bounds (size, place, bitmap)
+admit are verified. So no pair within a bucket is left open unless both are already in one component or a bound rules the link out.
 
 Cases: null and empty texts, and texts of white space, have no shingles and are linked with nothing; shorter texts than a
 shingle are one shingle; repeated rows are each returned, in one component; an empty table gives an empty
@@ -13,9 +15,11 @@ result; only ``doc_id`` and ``text`` are read; a null id is no component's small
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import LOWER, Roller, mix, slices, staged, utf8, words
@@ -23,6 +27,10 @@ from .components import components
 from .op10_bpe import documents
 
 BANDS, ROWS = 20, 4
+#: Numbers of 64 bits in a residual's bitmap.
+BITS = 4
+#: Rows that a row of the residual index meets on average from which on groups are compared with one of theirs once more.
+CROWD = 128
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +99,17 @@ def superminhash(h: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
     return sig
 
 
+def _digests(h: np.ndarray, first: np.ndarray) -> list[bytes | None]:
+    """128 bits of each row's set, whatever its order; none of an empty set."""
+    count = np.diff(first)
+    halves = []
+    for salt in (1, 0x9E3779B97F4A7C15):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(salt)))])
+        halves.append(mix(total[first[1:]] - total[first[:-1]] + count.astype(np.uint64)))
+    raw = np.stack(halves, 1).tobytes()
+    return [raw[16 * k : 16 * k + 16] if n else None for k, n in enumerate(count)]
+
+
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n_shingles, digest, bands): digest is null without shingles."""
     salt = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
@@ -102,16 +121,13 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             for i, j in slices(at):
                 h, first = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
                 count = np.diff(first)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(1)))])
-                digest = mix(total[first[1:]] - total[first[:-1]] + count.astype(np.uint64))
                 bits = np.ascontiguousarray(superminhash(h, first, bands * rows)).view(np.uint64) * salt
                 band = mix(bits.reshape(j - i, bands, rows).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64)
-                none = count == 0
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), pa.array(band.ravel()))
-                yield pa.record_batch([key.slice(i, j - i), pa.array(count), pa.array(digest.view(np.int64), mask=none), lists], names=["doc_id", "n_shingles", "digest", "bands"])
+                yield pa.record_batch([key.slice(i, j - i), pa.array(count), pa.array(_digests(h, first), pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -122,12 +138,10 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
             data, at = utf8(batch.column(0))
             for i, j in slices(at):
                 h, first = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(1)))])
-                digest = mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.record_batch([pa.array(digest, mask=np.diff(first) == 0), lists], names=["digest", "shingles"])
+                yield pa.record_batch([pa.array(_digests(h, first), pa.binary()), lists], names=["digest", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "digest long, shingles array<long>").where("digest is not null")
+    return docs.select("text").mapInArrow(run, "digest binary, shingles array<long>").where("digest is not null")
 
 
 def _sets(vertices: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -148,38 +162,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("u") - F.col("i"))).select("a", "b")
 
 
-def _apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) among the members (hub, v, c: component) of each hub that lie in different components.
+def _residuals(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(t, v, n, k, place, b0..): an inverted index of the members' (hub, v) residuals D, their differences from the hub's set; t
+    tells hub and token, by hash.
 
-    With c(v) shingles of v in the hub's set and A(v) those outside, x and y, c(x) <= c(y), share at most c(x) + |A(x) & A(y)|. To be
-    alike they must share p/(1+p) of both sizes, so at least T(x) of A(x): any |A(x)| - T(x) + 1 of these, the ones that
-    the fewest members have, hold one that y has too. Members so near their hub that T isn't positive are as a rule
-    linked with it; pairs of those that aren't in one component yet are all candidates.
+    With n(v) shingles and k(v) = |D(v)|, x and y are alike if and only if |D(x) & D(y)| >= (e(x) + e(y)) / 2, where
+    e = k - n (100 - p) / (100 + p). A pair of which one isn't linked with the hub has e(x) + e(y) > 0, so it shares a token. Tokens
+    are ordered by how many members have them; a pair's first common token has no place beyond k - (e(x) + e(y)) / 2 + 1 in either, so
+    the index holds no later ones.
     """
     one, two = sets.toDF("v", "s"), sets.toDF("hub", "t")
-    m = members.join(one, "v").join(two, "hub").select("hub", "v", "c", F.size("s").alias("n"), F.size(F.array_intersect("s", "t")).alias("near"), F.array_except("s", "t").alias("far"))
-    low = members.select("hub", "v").join(sets.select(F.col("digest").alias("v"), F.size("s").alias("n")), "v").groupBy("hub").agg(F.min("n").alias("least"))
-    home = members.where("v = hub").select("hub", F.col("c").alias("home"))
-    m = m.join(low, "hub").join(home, "hub").withColumn("t", F.ceil((F.col("n") + F.col("least")) * percent / (100.0 + percent) - F.col("near") - 1e-9))
-    m = staged(m.withColumn("k", F.size("far")).drop("least", "n"), "members")
-    after = (F.col("x.near") < F.col("y.near")) | ((F.col("x.near") == F.col("y.near")) & (F.col("x.v") < F.col("y.v")))
-    differ = after & (F.col("x.c") != F.col("y.c"))
-
-    token = m.select("hub", "v", "c", "near", "t", "k", F.explode("far").alias("g"))
-    count = token.groupBy("hub", "g").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    token = staged(token.join(count, ["hub", "g"]), "tokens")
-    w = Window.partitionBy("hub", "v")
-    asks = token.where("t > 0 and k >= t").withColumn("place", F.row_number().over(w.orderBy("m", "g"))).withColumn("alone", F.col("k") - F.count(F.lit(1)).over(w))
-    asks = asks.where("place <= k - t + 1 - alone")
-    found = asks.alias("x").join(token.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.g") == F.col("y.g")) & differ)
-
-    close = m.where("t <= 0")
-    edge = close.where("c = home").groupBy("hub").agg(F.min("near").alias("edge"))
-    strays = m.where("c != home").join(edge, "hub").where("near >= edge").drop("edge")
-    one = close.where("c != home").alias("x").join(m.alias("y"), (F.col("x.hub") == F.col("y.hub")) & differ)
-    two = close.where("c = home").alias("x").join(strays.alias("y"), (F.col("x.hub") == F.col("y.hub")) & differ)
-    ends = [F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")]
-    return found.select(*ends).union(one.select(*ends)).union(two.select(*ends)).distinct()
+    m = members.where("v != hub").join(one, "v").join(two, "hub")
+    m = m.select("hub", "v", F.size("s").alias("n"), F.concat(F.array_except("s", "t"), F.array_except("t", "s")).alias("d"))
+    bits = [F.expr(f"aggregate(d, 0L, (a, g) -> a | if(pmod(g >> 6, {BITS}) = {k}, shiftleft(1L, cast(g & 63 as int)), 0L))").alias(f"b{k}") for k in range(BITS)]
+    m = staged(m.select("hub", "v", "n", "d", F.size("d").alias("k"), *bits), "members")
+    excess = F.col("k") - F.col("n") * (100 - percent) / (100.0 + percent)
+    low = m.groupBy("hub").agg(F.min(excess).alias("low"))
+    last = F.col("k") - F.ceil((excess + F.col("low")) / 2 - 1e-6) + 1
+    token = m.join(low, "hub").select("hub", "v", last.alias("last"), F.explode("d").alias("g"))
+    common = token.groupBy("hub", "g").agg(F.count(F.lit(1)).alias("m"))
+    w = Window.partitionBy("hub", "v").orderBy("m", "g")
+    token = token.join(common, ["hub", "g"]).withColumn("place", F.row_number().over(w)).where("m > 1 and place <= last")
+    return staged(token.join(m.drop("d"), ["hub", "v"]).select(F.xxhash64("hub", "g").alias("t"), "v", "n", "k", "place", *(f"b{k}" for k in range(BITS))), "tokens")
+
+
+def _admitted(percent: int) -> Column:
+    """Whether x and y, that share a token, can be alike: by size, by the tokens from this one on, and by bitmaps of their residuals."""
+    need = (F.col("x.k") + F.col("y.k") - (F.col("x.n") + F.col("y.n")) * (100 - percent) / (100.0 + percent)) / 2 - 1e-6
+    size = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    rest = F.least(F.col("x.k") - F.col("x.place"), F.col("y.k") - F.col("y.place")) + 1 >= need
+    lone = lambda p, q: sum(F.bit_count(F.col(f"{p}.b{k}").bitwiseAND(F.bitwise_not(f"{q}.b{k}"))) for k in range(BITS))
+    return size & rest & (F.col("x.k") - lone("x", "y") >= need) & (F.col("y.k") - lone("y", "x") >= need)
+
+
+def _paired(x: DataFrame, y: DataFrame, percent: int, more: Column) -> DataFrame:
+    """Pairs (a, b) of the index's rows x and y of one hub and token, in different components, that can be alike."""
+    both = x.alias("x").join(y.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.c") != F.col("y.c")) & more & _admitted(percent))
+    return both.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
+
+
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (v, c) after further links: only the components that these touch are looked at."""
+    ends = links
+    for side in ("a", "b"):
+        ends = ends.join(comp.toDF(side, f"{side}_c"), side, "left").withColumn(side, F.coalesce(f"{side}_c", side)).drop(f"{side}_c")
+    more = components(ends.select("a", "b").distinct())
+    moved = comp.join(more.toDF("c", "new"), "c", "left").select("v", F.coalesce("new", "c").alias("c"))
+    return staged(moved.union(more.join(comp, "v", "left_anti").select("v", "c")), "labels")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -194,24 +223,50 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     tested = staged(buckets.where("v != hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct(), "pairs")
     links = staged(_verified(tested, _sets(_ends(tested), classes, docs, size), percent), "near")
     comp = components(links)
-    for last in (False, True):
-        own = buckets.join(comp, "v", "left").select("key", "hub", "v", F.coalesce("c", "v").alias("c"))
-        apart = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-        own = own.join(apart, "key")
-        if last:
-            members = own.select("hub", "v", "c").distinct()
-            sets = _sets(members.select(F.col("v").alias("digest")).union(members.select("hub")).distinct(), classes, docs, size)
-            pairs = _apart(members, sets, percent)
-        else:
-            second = own.where("c != low").groupBy("key").agg(F.min(F.struct("v", "c")).alias("h")).select("key", "h.v", "h.c").toDF("key", "hub", "hub_c")
-            pairs = own.drop("hub").join(second, "key").where("c != hub_c").select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b"))
-        pairs = staged(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.limit(1).count():
-            more = staged(_verified(pairs, sets if last else _sets(_ends(pairs), classes, docs, size), percent), "near")
-            if more.limit(1).count():
-                links = links.union(more)
-                comp = components(links)
-            tested = tested.union(pairs)
+
+    def verify(pairs: DataFrame, sets: DataFrame | None = None) -> int:
+        """Joins components by what holds of ``pairs``; the number of new links."""
+        nonlocal comp, tested
+        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.limit(1).count():
+            return 0
+        tested = tested.union(pairs)
+        found = staged(_verified(pairs, sets if sets is not None else _sets(_ends(pairs), classes, docs, size), percent), "near")
+        n = found.count()
+        if n:
+            comp = _merged(comp, found)
+        return n
+
+    def now(rows: DataFrame) -> DataFrame:
+        return rows.join(comp, "v", "left").withColumn("c", F.coalesce("c", "v"))
+
+    def apart() -> DataFrame:
+        """The buckets' rows where they hold more than one component."""
+        own = now(buckets)
+        return own.join(own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high"), "key")
+
+    own = apart()
+    second = own.where("c != low").groupBy("key").agg(F.min(F.struct("v", "c")).alias("h")).select("key", "h.v", "h.c").toDF("key", "hub", "hub_c")
+    verify(own.drop("hub").join(second, "key").where("c != hub_c").select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b")).distinct())
+
+    members = staged(apart().select("hub", "v").distinct(), "apart")
+    if members.limit(1).count():
+        sets = _sets(members.select(F.col("v").alias("digest")).union(members.select("hub")).distinct(), classes, docs, size)
+        tokens = _residuals(members, sets, percent)
+        first = 0
+        for turn in count():
+            index = now(tokens)
+            mixed = index.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct(*index.columns), F.xxhash64("c", "v", F.lit(turn))).alias("r"))
+            mixed = staged(mixed.where("low < high").drop("low", "high"), "groups")
+            rows, meets = mixed.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0))).first()
+            if meets <= CROWD * rows:
+                break
+            found = verify(_paired(index, mixed.select("r.*"), percent, F.lit(True)), sets)
+            first = first or found
+            if found * 10 <= first:
+                break  # what is left is found below
+        index = now(tokens).join(mixed, "t", "left_semi")
+        verify(_paired(index, index, percent, F.col("x.v") < F.col("y.v")), sets)
     member = classes.select(F.col("digest").alias("v"), "doc_id").join(comp, "v", "left").select("v", "doc_id", F.coalesce("c", "v").alias("c"))
     least = member.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     of = member.join(least, "c").select(F.col("v").alias("digest"), "component_id")
