@@ -21,9 +21,7 @@ columns pass through under their names.
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .base import Roller, _remove, mix, shared_dir, slices, staged, utf8, window_max, window_min
+from .base import Roller, mix, slices, staged, utf8, window_max, window_min
 from .bwt import repeated_minimum
 from .op10_bpe import documents
+from .parts import blob, empty, parted, unpacked
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a part, and parts that may share a minimizer before its windows go out one by one.
@@ -46,35 +45,8 @@ _NO = np.int64(2**63 - 1)
 def _parts(docs: DataFrame, part_bytes: int) -> DataFrame:
     """(__id, text, __rest, __part, __row, __digest), as a table bucketed by part: ids, texts, all other columns, and the row's
     number in its part."""
-    spark = docs.sparkSession
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        number, row, held = TaskContext.get().partitionId() << 32, 0, 0
-        for batch in batches:
-            data, at = utf8(batch.column(1))
-            start = 0
-            size = np.diff(at)
-            while start < len(size):
-                room = int(np.searchsorted(at, at[start] + part_bytes - held, "right")) - 1
-                stop = min(max(room, start + (held == 0)), len(size))
-                if stop > start:
-                    part, n = batch.slice(start, stop - start), stop - start
-                    digest = [hashlib.md5(data[at[k] : at[k + 1]]).digest() for k in range(start, stop)]
-                    yield pa.record_batch([*part.columns, pa.array(np.full(n, number)), pa.array(np.arange(row, row + n)), pa.array(digest, pa.binary())], names=["__id", "text", "__rest", "__part", "__row", "__digest"])
-                    row, held = row + n, held + int(at[stop] - at[start])
-                if stop < len(size):
-                    number, row, held = number + 1, 0, 0
-                start = stop
-
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text", F.struct(*(f"`{c}`" for c in docs.columns if c != "text")).alias("__rest"))
-    frame = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("__part", LongType()), StructField("__row", LongType()), StructField("__digest", BinaryType())]))
-    name, path = f"parts_{uuid.uuid4().hex}", f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frame.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "__part").saveAsTable(name)
-    atexit.register(_remove, spark, path)
-    return spark.table(name)
+    return parted(rows, part_bytes, lambda data, at: [hashlib.md5(data[i:j]).digest() for i, j in zip(at, at[1:], strict=False)], StructField("__digest", BinaryType()))
 
 
 class _Part:
@@ -161,26 +133,6 @@ def _copies(right: pa.Table) -> np.ndarray:
     return right.column("copy").to_numpy().astype(np.int64)
 
 
-def _blob(*arrays: np.ndarray) -> bytes:
-    """Arrays of bytes columns; what comes out of a transpose squeezes better."""
-    out = [len(arrays).to_bytes(8, "little")]
-    for a in arrays:
-        raw = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b""
-        out += [len(a).to_bytes(8, "little"), a.dtype.str.encode().ljust(8), raw]
-    return b"".join(out)
-
-
-def _arrays(blob: bytes) -> list[np.ndarray]:
-    at, out = 8, []
-    for _ in range(int.from_bytes(blob[:8], "little")):
-        n, kind = int.from_bytes(blob[at : at + 8], "little"), np.dtype(blob[at + 8 : at + 16].strip().decode())
-        at += 16
-        raw = np.frombuffer(blob, np.uint8, n * kind.itemsize, at)
-        at += n * kind.itemsize
-        out.append(np.ascontiguousarray(raw.reshape(kind.itemsize, n).T).view(kind).ravel() if n else np.zeros(0, kind))
-    return out
-
-
 def _ask(part: _Part, number: int, groups: int) -> pa.Table:
     bucket = (mix(part.forms) % np.uint64(groups)).astype(np.int64)
     low, high = np.full(len(part.forms), _NO), np.full(len(part.forms), -1)
@@ -193,14 +145,14 @@ def _ask(part: _Part, number: int, groups: int) -> pa.Table:
         own = order[begin[b] : begin[b + 1]]
         if len(own):
             f = part.forms[own]
-            blobs.append(_blob(np.diff(f, prepend=np.uint64(0)), (low[own] < high[own]).astype(np.uint8)))
+            blobs.append(blob(np.diff(f, prepend=np.uint64(0)), (low[own] < high[own]).astype(np.uint8)))
             which.append(b)
     return pa.table({"bucket": pa.array(which, pa.int32()), "part": pa.array(np.full(len(which), number)), "ask": pa.array(blobs, pa.binary())})
 
 
 def _answer(table: pa.Table, many: int) -> pa.Table:
     """Of each form that a part asks for: 0 no other document holds it, 1 some do, 2 very many parts do."""
-    got = [_arrays(x) for x in table.column("ask").to_pylist()]
+    got = [unpacked(x) for x in table.column("ask").to_pylist()]
     forms = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got])
     twice = np.concatenate([x[1] for x in got])
     order = np.argsort(forms, kind="stable")
@@ -228,14 +180,14 @@ def _send(part: _Part, number: int, groups: int) -> pa.Table:
             size = part.size[own]
             at = np.cumsum(size) - size
             flat = part.data[np.repeat(part.from_[own] - at, size) + np.arange(size.sum())]
-            blobs.append(_blob(part.names[own], part.low[own], size.astype(np.uint32), flat, part.deal[own]))
+            blobs.append(blob(part.names[own], part.low[own], size.astype(np.uint32), flat, part.deal[own]))
             which.append(g)
     return pa.table({"bucket": pa.array(which, pa.int32()), "part": pa.array(np.full(len(which), number)), "sent": pa.array(blobs, pa.binary())})
 
 
 def _resolve(table: pa.Table, length: int) -> pa.Table:
     """Merge the group's shards; tell each part the smallest ids of those windows that a smaller id than its own holds."""
-    got = [_arrays(x) for x in table.column("sent").to_pylist()]
+    got = [unpacked(x) for x in table.column("sent").to_pylist()]
     name = np.concatenate([x[0] for x in got])
     low = np.concatenate([x[1] for x in got])
     size = np.concatenate([x[2] for x in got]).astype(np.int64)
@@ -268,7 +220,7 @@ def _resolve(table: pa.Table, length: int) -> pa.Table:
         better = v < np.repeat(x[1], n)
         some = np.zeros(len(w), bool)
         some[np.repeat(np.arange(len(w)), n)[better]] = True
-        out.append(_blob(np.flatnonzero(some).astype(np.uint32), v[np.repeat(some, n)]))
+        out.append(blob(np.flatnonzero(some).astype(np.uint32), v[np.repeat(some, n)]))
     return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "low": pa.array(out, pa.binary())})
 
 
@@ -277,8 +229,8 @@ def _cut(part: _Part, low: pa.Table, copies: np.ndarray, groups: int, as_text: b
     begin = np.searchsorted(part.target[order], np.arange(groups + 1))
     first = np.cumsum(part.windows) - part.windows
     value = np.repeat(part.low, part.windows)  # of each window of each distinct segment
-    for g, blob in zip(low.column("bucket").to_pylist(), low.column("low").to_pylist(), strict=True):
-        some, v = _arrays(blob)
+    for g, told in zip(low.column("bucket").to_pylist(), low.column("low").to_pylist(), strict=True):
+        some, v = unpacked(told)
         own = order[begin[g] : begin[g + 1]][some]
         n = part.windows[own]
         value[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = v
@@ -331,7 +283,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False,
 
     def ask(key, left, right):
         if not len(left):
-            return _empty("bucket int, part long, ask binary")
+            return empty("bucket int, part long, ask binary")
         p = _Part(left, length)
         p.minimizers(_copies(right))
         return _ask(p, key[0].as_py(), groups)
@@ -352,7 +304,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False,
     facts = facts.unionByName(answers.select(F.col("part").alias("__part"), none("long").alias("copy"), "bucket", "flags", none("binary").alias("low")))
 
     def send(key, left, right):
-        return _send(told(left, right), key[0].as_py(), groups) if len(left) else _empty("bucket int, part long, sent binary")
+        return _send(told(left, right), key[0].as_py(), groups) if len(left) else empty("bucket int, part long, sent binary")
 
     sent = own.groupBy("__part").cogroup(facts.groupBy("__part")).applyInArrow(send, "bucket int, part long, sent binary")
     found = staged(sent.groupBy("bucket").applyInArrow(lambda t: _resolve(t, length), "part long, bucket int, low binary"), "found")
@@ -362,7 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False,
 
     def cut(left, right):
         if not len(left):
-            return _empty(schema)
+            return empty(schema)
         p = told(left, right)
         return _cut(p, right.filter(right.column("low").is_valid()), _copies(right.filter(right.column("copy").is_valid())), groups, as_text)
 
@@ -373,12 +325,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False,
     return out.select(*(F.col(f"__rest.`{c}`") for c in docs.columns if c not in ("text", *made)), *made)
 
 
-def _empty(schema: str | StructType) -> pa.Table:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema).empty_table()
-
-
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
