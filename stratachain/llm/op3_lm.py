@@ -1,14 +1,21 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is that of its class given the two tokens before it, times that of the word in its class. Classes are the
-most frequent tokens, each by itself, and for all other words, seen or not, hashes of their endings. The class softmax has bigram
-features (class before), skip features (class before that) and hashed trigram features (both). It is trained by
-distributed gradient updates: contexts with their class counts lie in a table, tasks return the gradient of their
-contexts, the driver holds the weights, whose number is fixed. Words in a class have the softmax of biases whose
-maximum-likelihood solution is known, their smoothed counts; each class keeps one share for all unseen words.
-
-Texts are scored in sparse numpy batches. Counts of the ``FREQUENT`` most frequent words go to every task; all others are joined.
-Everything is counted over all training texts; nothing is left out for being rare.
+A token's probability is a mixture of four, each normalised over the same tokens, with weights of a softmax:
+
+* That of its class given the two tokens before it, times that of the word in its class. Classes are the most frequent tokens, each by
+  itself, and for all other words, seen or not, hashes of their endings. The class softmax has bigram features (class before),
+  skip features (class before that) and hashed trigram features (both). It is trained by distributed gradient updates:
+  contexts with their class counts lie in a table, tasks return the gradient of their contexts, the driver holds the weights, whose number
+  is fixed. Words in a class have the softmax of biases whose maximum-likelihood solution is known, their smoothed counts; each
+  class keeps one share for all unseen words.
+* Those of the word after the word before (bigram), after the one before that (skip) and after both (trigram). Each is the softmax of
+  its context's own features, whose maximum-likelihood solution are their counts. Features are hashed, to more bits the larger
+  the corpus, and their counts, over all training texts, lie in a table of groups by hash: what the model gathers grows with the corpus.
+* The mixture's weights are a softmax over features of how often each context was seen, trained by distributed gradient updates on
+  all training tokens, each left out of the counts it is predicted by.
+
+Texts lie in parts of bounded size. A part tells each group which features it has and how often; a group answers with its sums, so no
+table of features goes to every task. Texts are scored in sparse numpy batches. Nothing is left out for being rare.
 
 Cases: null and empty texts are one token, the end; an empty training set knows no token (N and V are 0; each token scores as
 unseen); repeated rows count and are scored each; a null id counts as the empty text for the fold; an empty table gives an
@@ -22,18 +29,26 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .base import LOWER, Roller, held_out, slices, staged, utf8, words
+from .base import LOWER, Roller, held_out, mix, slices, staged, utf8, words
 from .bpe import Table
 from .op10_bpe import documents
+from .parts import blob, empty, parted, unpacked
 
 #: Token classes: the end, the most frequent words, hashed endings; and the place of "before the text" among contexts.
 SINGLE, ENDINGS = 64, 128
 CLASSES = SINGLE + ENDINGS
 START = CLASSES
 BUCKETS = 1 << 14
-FREQUENT = 1 << 18
 EPOCHS, RATE = 10, 0.7
+#: Bytes of text in a part, contexts in a block.
+PART, BLOCK = 8 << 20, 512
+#: Features by kind: a word, a word with one between it and the next, and words with what is before, before that, and both.
+KINDS = ("word", "skipped", "pair", "skip", "triple")
+#: Levels of how often a context was seen, and rounds and rate of the mixture's training.
+LEVELS, MIXTURE_EPOCHS, MIXTURE_RATE = 66, 24, 0.6
+_END, _START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 
 
 def _ending(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -100,9 +115,16 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _context_counts(texts: DataFrame, single: np.ndarray) -> DataFrame:
-    """(context, class, n) over all tokens."""
+    """(context, classes) over all tokens: tasks send packed counts of blocks of contexts, which are added up as they come."""
     shared = texts.sparkSession.sparkContext.broadcast(single)
 
+    def packed(held):
+        key, n = _added(held)
+        block = key // (CLASSES * BLOCK)
+        cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+        blobs = [blob(np.diff(key[i:j], prepend=0).astype(np.uint32), n[i:j].astype(np.uint64)) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return pa.record_batch([pa.array(block[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["block", "counts"])
+
     def count(batches):
         table, held, size = Table(shared.value), [], 0
         for batch in batches:
@@ -113,14 +135,31 @@ def _context_counts(texts: DataFrame, single: np.ndarray) -> DataFrame:
                 held.append(np.unique(context * CLASSES + cls, return_counts=True))
                 size += len(held[-1][0])
                 if size > 4_000_000:
-                    held, size = [_added(held)], 0
+                    held = [_added(held)]
+                    size = len(held[0][0])
+                    if size > 2_000_000:
+                        yield packed(held)
+                        held, size = [], 0
         if held:
-            key, n = _added(held)
-            for k in range(0, len(key), 1 << 18):
-                part = key[k : k + (1 << 18)]
-                yield pa.record_batch([pa.array((part // CLASSES).astype(np.int32)), pa.array((part % CLASSES).astype(np.int16)), pa.array(n[k : k + (1 << 18)])], names=["context", "class", "n"])
+            yield packed(held)
 
-    return texts.select("text").mapInArrow(count, "context int, class short, n long").groupBy("context", "class").agg(F.sum("n").alias("n"))
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                gap, n = unpacked(counts.as_buffer().to_pybytes())
+                own = sums.setdefault(block, np.zeros(CLASSES * BLOCK, np.int64))
+                own[np.cumsum(gap, dtype=np.int64) - block * CLASSES * BLOCK] += n.astype(np.int64)
+        for block, own in sums.items():
+            at = np.flatnonzero(own)
+            row, cls = at // CLASSES, at % CLASSES
+            some = np.unique(row)
+            items = pa.StructArray.from_arrays([pa.array(cls.astype(np.int16)), pa.array(own[at])], ["class", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.append(some, BLOCK)).astype(np.int32)), items)
+            yield pa.record_batch([pa.array((some + block * BLOCK).astype(np.int32)), lists], names=["context", "classes"])
+
+    sent = texts.select("text").mapInArrow(count, "block int, counts binary").repartition("block")
+    return sent.mapInArrow(add, "context int, classes array<struct<class:short,n:long>>")
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,79 +243,269 @@ def train(counts: DataFrame, epochs: int = EPOCHS, rate: float = RATE) -> tuple[
     return w, likes
 
 
-def score(docs: DataFrame, keep: Column, epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; learns from rows with ``keep``."""
+class Tokens:
+    """A part's tokens, ends included: hashes of the word and of the two before it, row, class and class context."""
+
+    def __init__(self, table: pa.Table, single: Table):
+        self.table = table.sort_by("__row")
+        data, at = utf8(self.table.column("text"))
+        self.rows = len(at) - 1
+        got: list[list[np.ndarray]] = [[np.zeros(0, kind)] for kind in (np.uint64, np.int64, np.int64, np.int64)]
+        for i, j in slices(at):
+            s = Slice(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            row, context, cls = s.contexts(s.classes(single))
+            h = np.full(len(row), _END)
+            h[np.arange(len(s.code)) + s.row] = s.hash[s.code]
+            for held, x in zip(got, (h, row + i, context, cls), strict=True):
+                held.append(x)
+        self.h, self.row, self.context, self.cls = map(np.concatenate, got)
+        self.first = np.diff(self.row, prepend=-1) > 0
+        self.train = self.table.column("_train").to_numpy(zero_copy_only=False)[self.row].astype(np.float64)
+
+    def before(self, x: np.ndarray, start) -> np.ndarray:
+        """``x`` of the token before, in the same text."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.first] = start
+        return out
+
+    def keys(self, kind: str, shift: int) -> np.ndarray:
+        one = self.before(self.h, _START)
+        a, b, c = (mix(np.array([k], np.uint64))[0] | np.uint64(1) for k in (11, 12, 13))
+        if kind == "word":
+            return self.h
+        if kind == "skipped":
+            return mix(self.before(one, _START) * c)
+        x = self.h * a
+        if kind != "skip":
+            x = x + one * b
+        if kind != "pair":
+            x = x + self.before(one, _START) * c
+        return mix(x + np.uint64(KINDS.index(kind))) >> np.uint64(shift)
+
+    def distinct(self, kind: str, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The kind's features in order, how often training has each here, and each token's feature."""
+        key = self.keys(kind, shift)
+        order = np.argsort(key)
+        s = key[order]
+        head = np.ones(len(s), bool)
+        head[1:] = s[1:] != s[:-1]
+        run = np.cumsum(head) - 1
+        which = np.empty(len(s), np.int32)
+        which[order] = run
+        return s[head], np.bincount(which, self.train, int(head.sum())).astype(np.uint32), which
+
+
+def _dealt(key: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of features by group, and where each group's begin."""
+    group = (mix(key) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    return order, np.searchsorted(group[order], np.arange(groups + 1))
+
+
+def _ask(part: Tokens, number: int, groups: int, shift: int) -> pa.Table:
+    """For each group, the part's features and their counts."""
+    found = []
+    for kind in KINDS:
+        key, n, _ = part.distinct(kind, shift)
+        found.append((key, n, *_dealt(key, groups)))
+    some = [g for g in range(groups) if any(begin[g] < begin[g + 1] for *_, begin in found)]
+    blobs = []
+    for g in some:
+        arrays = []
+        for key, n, order, begin in found:
+            own = order[begin[g] : begin[g + 1]]
+            arrays += [np.diff(key[own], prepend=np.uint64(0)), n[own]]
+        blobs.append(blob(*arrays))
+    return pa.table({"bucket": pa.array(some, pa.int32()), "part": pa.array(np.full(len(some), number)), "ask": pa.array(blobs, pa.binary())})
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """The sums of all that the group's parts have told, for each part in the order of its features."""
+    got = [unpacked(x.as_buffer().to_pybytes()) for x in table.column("ask")]
+    out: list[list[np.ndarray]] = [[] for _ in got]
+    for k in range(len(KINDS)):
+        key = np.concatenate([np.cumsum(x[2 * k], dtype=np.uint64) for x in got])
+        order = np.argsort(key)
+        s = key[order]
+        head = np.ones(len(s), bool)
+        head[1:] = s[1:] != s[:-1]
+        run = np.empty(len(s), np.int32)
+        run[order] = np.cumsum(head) - 1
+        total = np.bincount(run, np.concatenate([x[2 * k + 1] for x in got])).astype(np.uint64)
+        back = total[run].astype(np.uint64 if len(total) and total.max() >> np.uint64(32) else np.uint32)
+        for own, part in zip(out, np.split(back, np.cumsum([len(x[2 * k]) for x in got])[:-1]), strict=True):
+            own.append(part)
+    return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "told": pa.array([blob(*x) for x in out], pa.binary())})
+
+
+def _known(part: Tokens, told: pa.Table, groups: int, shift: int, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of each token's word; of its bigram, skip and trigram; and of their contexts."""
+    answers = dict(zip(told.column("bucket").to_pylist(), (unpacked(x.as_buffer().to_pybytes()) for x in told.column("told")), strict=True))
+    n = {}
+    for k, kind in enumerate(KINDS):
+        key, _, which = part.distinct(kind, shift)
+        order, begin = _dealt(key, groups)
+        total = np.zeros(len(key))
+        for g, got in answers.items():
+            total[order[begin[g] : begin[g + 1]]] = got[k]
+        n[kind] = total[which]
+    seen = np.stack([n["pair"], n["skip"], n["triple"]])
+    return n["word"], seen, np.stack([part.before(n["word"], n_docs), n["skipped"], part.before(n["pair"], n_docs)])
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """How often a context was seen: 0 to 3 times, and a level more for each doubling from 4 on."""
+    return np.where(n < 4, n, np.floor(np.log2(np.maximum(n, 1))) + 2).astype(np.int64)
+
+
+def _shares(mixture: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """(4, tokens): weights of the class model and the three contexts; mixture: (2, 3, LEVELS), by the own context's level and the trigram's."""
+    z = np.stack([mixture[0, k][level[k]] + mixture[1, k][level[2]] for k in range(3)])
+    z = np.concatenate([np.zeros((1, level.shape[1])), np.where(level > 0, z, -np.inf)])
+    z = np.exp(z - z.max(0))
+    return z / z.sum(0)
+
+
+def _mixed(mixture: np.ndarray, by_class: np.ndarray, seen: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Probability of each token."""
+    a = _shares(mixture, _level(of))
+    return a[0] * by_class + (a[1:] * seen / np.maximum(of, 1)).sum(0)
+
+
+#: Places of an event's number: the three levels, the three shares of their contexts' tokens and the class model's probability, as powers of two.
+_PLACES = (LEVELS, LEVELS, LEVELS, 66, 66, 66, 512)
+
+
+def _events(part: Tokens, by_class: np.ndarray, seen: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training tokens as numbers, each left out of its own counts, and how many there are of each number."""
+    on = part.train > 0
+    seen, of = seen[:, on] - 1, of[:, on] - 1
+    share = np.where(seen > 0, 1 + np.floor(np.log2(np.maximum(of, 1) / np.maximum(seen, 1)) + 0.5).astype(np.int64), 0)
+    number = np.zeros(int(on.sum()), np.int64)
+    for size, x in zip(_PLACES, (*_level(of), *share, np.minimum(np.floor(-np.log2(by_class[on]) + 0.5).astype(np.int64), 511)), strict=True):
+        number = number * size + x
+    return np.unique(number, return_counts=True)
+
+
+def _mixture_gradient(events: DataFrame, mixture: np.ndarray) -> tuple[np.ndarray, float]:
+    shared = events.sparkSession.sparkContext.broadcast(mixture)
+
+    def run(batches):
+        grad, like = np.zeros_like(shared.value), 0.0
+        for batch in batches:
+            rest, n = batch.column(0).to_numpy().copy(), batch.column(1).to_numpy()
+            x = []
+            for size in reversed(_PLACES):
+                x.append(rest % size)
+                rest //= size
+            base, own, level = x[0], x[3:0:-1], np.stack(x[:3:-1])  # from the last place to the first
+            p = np.stack([2.0**-base, *(np.where(q > 0, 2.0 ** (1 - q), 0.0) for q in own)])
+            a = _shares(shared.value, level)
+            total = (a * p).sum(0)
+            like += float(n @ np.log(total))
+            g = n * a[1:] * (p[1:] / total - 1)
+            for k in range(3):
+                grad[0, k] += np.bincount(level[k], g[k], LEVELS)
+                grad[1, k] += np.bincount(level[2], g[k], LEVELS)
+        yield pa.record_batch([pa.array([grad.ravel().tolist()], pa.list_(pa.float64())), pa.array([like])], names=["grad", "likelihood"])
+
+    got = events.mapInArrow(run, "grad array<double>, likelihood double").toArrow()
+    shared.destroy()
+    grads = got.column("grad").combine_chunks().flatten().to_numpy().reshape(-1, *mixture.shape)
+    return grads.sum(0), float(np.sum(got.column("likelihood").to_numpy()))
+
+
+def train_mixture(events: DataFrame, epochs: int = MIXTURE_EPOCHS, rate: float = MIXTURE_RATE) -> tuple[np.ndarray, list[float]]:
+    """Distributed AdaGrad over (number, n) rows of events. Returns the likelihoods too."""
+    mixture, squares, likes = np.zeros((2, 3, LEVELS)), np.zeros((2, 3, LEVELS)), []
+    for _ in range(epochs):
+        g, like = _mixture_gradient(events, mixture)
+        likes.append(like)
+        squares += g * g
+        mixture += rate * g / (np.sqrt(squares) + 1.0)
+    return mixture, likes
+
+
+def score(docs: DataFrame, keep: Column, epochs: int = EPOCHS, part_bytes: int = PART) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, left_out_score) of each row; learns from rows with ``keep``.
+    left_out_score: each token of a training row is left out of the counts that it is predicted by, so that a text's own
+    occurrence doesn't make it likely; for other rows the same as score."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text", keep.alias("_train"))
-    learn = texts.where("_train").select("text")
+    parts = parted(docs.select("doc_id", "text", keep.alias("_train")), part_bytes)
+    learn = parts.where("_train").select("text")
     counts = staged(word_counts(learn), "words")
     n_docs = learn.count()
     n_words, n_forms = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = n_words + n_docs, n_forms + (n_docs > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("hash", "n").toArrow()
-    frequent, frequent_n = top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    single = frequent[: SINGLE - 1]
+    single = counts.orderBy(F.desc("n"), "word").limit(SINGLE - 1).select("hash").toArrow().column("hash").to_numpy().view(np.uint64)
 
     def endings(batches):
-        table = Table(single)
+        table, n, forms = Table(single), np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for batch in batches:
-            word = batch.column(1)
-            data, at = utf8(word.cast(pa.large_binary()).view(pa.large_string()))
-            cls = np.where(table.find(batch.column(0).to_numpy().view(np.uint64)) >= 0, -1, _ending(data, at[:-1], at[1:]))
-            n = np.bincount(cls[cls >= 0], batch.column(2).to_numpy()[cls >= 0], CLASSES).astype(np.int64)
-            forms = np.bincount(cls[cls >= 0], minlength=CLASSES)
-            yield pa.record_batch([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(n), pa.array(forms)], names=["class", "n", "forms"])
+            data, at = utf8(batch.column(1).cast(pa.large_binary()).view(pa.large_string()))
+            rest = table.find(batch.column(0).to_numpy().view(np.uint64)) < 0
+            cls = _ending(data, at[:-1], at[1:])[rest]
+            n += np.bincount(cls, batch.column(2).to_numpy()[rest], CLASSES).astype(np.int64)
+            forms += np.bincount(cls, minlength=CLASSES)
+        yield pa.record_batch([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(n), pa.array(forms)], names=["class", "n", "forms"])
 
     size = np.ones(CLASSES)
     for r in counts.select("hash", "word", "n").mapInArrow(endings, "class int, n long, forms long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("forms").alias("v")).collect():
         size[r["class"]] = r["n"] + r["v"] + 1
-    table = _context_counts(learn, single)
-    table = staged(table.groupBy("context").agg(F.collect_list(F.struct("class", "n")).alias("classes")), "contexts")
-    weights, _ = train(table, epochs)
-    shared = spark.sparkContext.broadcast((weights, frequent, frequent_n, size))
-
-    def run(batches):
-        w, freq, freq_n, size = shared.value
-        known, one = Table(freq), Table(freq[: SINGLE - 1])
-        log_p = np.concatenate([w.log_p(np.arange(k, min(k + 4096, (CLASSES + 1) ** 2))) for k in range(0, (CLASSES + 1) ** 2, 4096)])
-        log_p /= np.float32(np.log(10))
-        end_n = np.log10(n_docs + 1.0)
-        for batch in batches:
-            data, at = utf8(batch.column(1))
-            for i, j in slices(at):
-                s = Slice(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                cls = s.classes(one)
-                row, context, seq = s.contexts(cls)
-                by_class = np.bincount(row, log_p[context, seq].astype(np.float64), s.rows)
-                found = known.find(s.hash)
-                logs = np.where(found >= 0, np.log10(freq_n[found] + 1.0), 0.0) if len(freq_n) else np.zeros(len(found))
-                by_word = np.where(cls >= SINGLE, logs, 0.0) - np.where(cls >= SINGLE, np.log10(size[cls]), 0.0)
-                add = lambda v: np.bincount(s.row, v[s.code], s.rows)
-                rest = np.flatnonzero((found < 0)[s.code])
-                pair, n = np.unique(s.row[rest] * np.int64(len(s.hash) + 1) + s.code[rest], return_counts=True)
-                who, form = pair // (len(s.hash) + 1), pair % (len(s.hash) + 1)
-                items = pa.StructArray.from_arrays([pa.array(s.hash[form].view(np.int64)), pa.array(n.astype(np.int32))], ["hash", "k"])
-                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(s.rows + 1)).astype(np.int32)), items)
-                n_tokens = np.diff(s.first) + 1
-                n_known = add((found >= 0).astype(float)).astype(np.int64) + (1 if n_docs else 0)
-                yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n_tokens), pa.array(n_known), pa.array(add(logs) + end_n), pa.array(by_class + add(by_word)), rare], names=["doc_id", "train", "n_tokens", "n_known", "logs", "score", "rare"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    first = texts.mapInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, logs double, score double, rare array<struct<hash:long,k:int>>")
-    first = staged(first.withColumn("_key", F.monotonically_increasing_id()), "scores")
-    rare = first.select("_key", F.explode("rare").alias("r")).select("_key", "r.hash", "r.k")
-    seen = rare.join(counts.select("hash", "n"), "hash").groupBy("_key").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
-    zero = F.lit(0.0)
-    out = first.drop("rare").join(seen, "_key", "left")
-    logs = F.col("logs") + F.coalesce("more_logs", zero)
-    return out.select(
+    weights, _ = train(staged(_context_counts(learn, single), "contexts"), epochs)
+
+    groups = max(1, parts.agg(F.count_distinct("__part")).first()[0])
+    shift = max(0, 64 - 40 - 2 * groups.bit_length())  # bits of hash that features do without: fewer the more there are
+    own = parts.groupBy("__part")
+    asked = own.applyInArrow(lambda key, t: _ask(Tokens(t, Table(single)), key[0].as_py(), groups, shift), "bucket int, part long, ask binary")
+    answers = staged(asked.groupBy("bucket").applyInArrow(_answer, "part long, bucket int, told binary"), "answers")
+    answers = answers.withColumnRenamed("part", "__part").groupBy("__part")
+    shared = spark.sparkContext.broadcast((weights, size))
+
+    def read(left: pa.Table, right: pa.Table) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A part with the class model's probabilities and its counts."""
+        w, size = shared.value
+        part = Tokens(left, Table(single))
+        n, seen, of = _known(part, right, groups, shift, n_docs)
+        some, which = np.unique(part.context, return_inverse=True)
+        log_p = np.concatenate([w.log_p(some[k : k + 4096]) for k in range(0, len(some), 4096)])
+        by_class = np.exp(log_p[which, part.cls].astype(np.float64)) * np.where(part.cls >= SINGLE, (n + 1) / size[part.cls], 1.0)
+        return part, by_class, n, seen, of
+
+    def events(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return empty("number long, n long")
+        part, by_class, _, seen, of = read(left, right)
+        number, n = _events(part, by_class, seen, of)
+        return pa.table({"number": number, "n": n})
+
+    found = own.cogroup(answers).applyInArrow(events, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+    mixture, _ = train_mixture(staged(found, "events"))
+    kind = parts.schema["doc_id"]
+    schema = StructType([kind, StructField("_train", BooleanType()), *(StructField(c, LongType()) for c in ("n_tokens", "n_known")), *(StructField(c, DoubleType()) for c in ("logs", "score", "left_out_score"))])
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return empty(schema)
+        part, by_class, n, seen, of = read(left, right)
+        add = lambda x: np.bincount(part.row, x, part.rows)
+        logs = [add(np.log10(_mixed(mixture, by_class, seen, of)))]
+        by_class[part.cls >= SINGLE] *= (n / (n + 1))[part.cls >= SINGLE] ** part.train[part.cls >= SINGLE]
+        by_class[by_class == 0] = 1 / (total + distinct + 1)  # a word that training has nowhere else
+        logs.append(add(np.log10(_mixed(mixture, by_class, seen - part.train, of - part.train))))
+        made = {"n_tokens": add(None).astype(np.int64), "n_known": add(n > 0).astype(np.int64), "logs": add(np.log10(n + 1.0)), "score": logs[0], "left_out_score": logs[1]}
+        return pa.table({"doc_id": part.table.column("doc_id"), "_train": part.table.column("_train")} | made)
+
+    return own.cogroup(answers).applyInArrow(scored, schema).select(
         "doc_id",
-        (~F.col("train")).alias("held_out"),
+        (~F.col("_train")).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_logs", zero)).alias("score"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"),
+        "score",
+        "left_out_score",
     )
 
 

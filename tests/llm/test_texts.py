@@ -16,25 +16,84 @@ from stratachain.llm.bwt import merge, repeated_minimum, transform
 from .cases import collected, documents, words
 
 
-def test_lm_base_counts_and_score(spark):
+def test_lm_base_counts_and_score(spark, monkeypatch):
+    """All columns against brute force, with an untrained class model and a mixture given; parts of all sizes."""
     docs = documents(spark, 120)
-    rows = op3_lm.score(docs, ~held_out("doc_id", 7, 2), epochs=4).collect()
     texts = collected(docs)
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts}
-    count = Counter(w for i, t in texts if not out[i] for w in [*words(t), None])
-    n, v = sum(count.values()), len(count)
-    by = {}
-    for i, t in texts:
-        tok = [*words(t), None]
-        by[i, len(tok), sum(count[w] > 0 for w in tok), round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tok), 6)] = out[i]
-    assert len(rows) == len(texts)
-    for r in rows:
-        assert by[r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)] == r.held_out and r.train_tokens == n
-        assert r.score < 0
+    rng = np.random.default_rng(5)
+    mixture = rng.normal(size=(2, 3, op3_lm.LEVELS))
+    counts, events = [Counter() for _ in range(5)], Counter()
+    rows = [(i, [None, *words(t), "END"]) for i, t in texts]
+
+    def features(tok):  # (word, bigram, skip, trigram, context of the skip) of each token
+        seq = [0, 0, *tok[1:]]
+        return [((w,), (a, w), (b, w), (b, a, w), (b,)) for b, a, w in zip(seq, seq[1:], seq[2:])]
+
+    for i, tok in rows:
+        for f in features(tok) if not out[i] else ():
+            for c, x in zip(counts, f):
+                c[x] += 1
+    n_docs = sum(not out[i] for i, _ in texts)
+    single = [w for (w,), _ in sorted(((w, n) for w, n in counts[0].items() if w != ("END",)), key=lambda x: (-x[1], x[0][0].encode()))][: op3_lm.SINGLE - 1]
+    cls = lambda w: 0 if w == "END" else single.index(w) + 1 if w in single else int(op3_lm._ending(b := np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(b)]))[0])
+    size = Counter()
+    for (w,), n in counts[0].items():
+        size[cls(w)] += n + 1
+
+    def p(f, less=0):
+        (w,), pair, skip, triple, ctx = f
+        n = counts[0][w,]
+        own = 1 / op3_lm.CLASSES * ((n + 1 - less) / (size[cls(w)] + 1) if cls(w) >= op3_lm.SINGLE else 1)
+        own = own or 1 / (sum(counts[0].values()) + len(counts[0]) + 1)
+        of = [counts[0][pair[0],] if pair[0] else n_docs, counts[4][ctx], (counts[1][triple[:2]] if triple[1] else n_docs)]
+        seen = [c[x] - less for c, x in zip(counts[1:4], (pair, skip, triple))]
+        of = [x - less for x in of]
+        level = [x if x < 4 else int(math.log2(x)) + 2 for x in of]
+        z = [1.0] + [math.exp(mixture[0, k, level[k]] + mixture[1, k, level[2]]) if of[k] else 0 for k in range(3)]
+        return (z[0] * own + sum(a * s / o for a, s, o in zip(z[1:], seen, of) if o)) / sum(z)
+
+    monkeypatch.setattr(op3_lm, "train", lambda table, epochs: (op3_lm.Weights(), []))
+    monkeypatch.setattr(op3_lm, "train_mixture", lambda table: (mixture, events.update({r.number: r.n for r in table.collect()}))[:2])
+    total, v = sum(counts[0].values()), len(counts[0])
+    want = []
+    for i, tok in rows:
+        fs = features(tok)
+        want.append((i, out[i], len(fs), sum(counts[0][f[0]] > 0 for f in fs), total, *(pytest.approx(x, rel=1e-6, abs=1e-6) for x in (sum(math.log10((counts[0][f[0]] + 1) / (total + v + 1)) for f in fs), sum(math.log10(p(f)) for f in fs), sum(math.log10(p(f, int(not out[i]))) for f in fs)))))
+    key = lambda r: (r[0], r[2])
+    for part_bytes in (op3_lm.PART, 3000):
+        events.clear()
+        got = op3_lm.score(docs, ~held_out("doc_id", 7, 2), part_bytes=part_bytes).collect()
+        assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+        assert sum(events.values()) == total
     empty = op3_lm.score(docs.limit(0), F.lit(True), epochs=1)
     assert empty.count() == 0
     none = op3_lm.score(docs, F.lit(False), epochs=1).first()
-    assert none.n_known == 0 and none.train_tokens == 0 and none.base_score == 0
+    assert none.n_known == 0 and none.train_tokens == 0 and none.base_score == 0 and none.score == none.left_out_score < 0
+
+
+def test_lm_mixture_learns_what_predicts(spark):
+    """Of tokens that only a seen trigram predicts, the trigram's weight grows; the likelihood never falls by much."""
+    rng = np.random.default_rng(3)
+    part = type("P", (), {"train": np.ones(400)})
+    seen = np.stack([rng.integers(1, 2, 400), rng.integers(1, 2, 400), rng.integers(1, 4, 400)]).astype(float)
+    number, n = op3_lm._events(part, np.full(400, 1e-4), seen, np.stack([seen[0] + 9, seen[1] + 9, seen[2]]))
+    mixture, likes = op3_lm.train_mixture(spark.createDataFrame([(int(a), int(b)) for a, b in zip(number, n)], "number long, n long"))
+    assert likes[-1] > likes[0] + 50 and (mixture[0, 2, 1] + mixture[1, 2, 1]) > 1 > -1 > mixture[0, 0, 5] + mixture[1, 0, 1]
+    assert op3_lm._shares(mixture, np.array([[0, 3], [2, 3], [0, 1]])).sum(0) == pytest.approx(1)
+
+
+def test_lm_training_beats_the_base_on_held_out_texts(spark):
+    rng = np.random.default_rng(6)
+    follow = {w: rng.choice(200, 3) for w in range(200)}
+    rows = []
+    for i in range(300):
+        tok = [int(rng.integers(200))]
+        while len(tok) < 40:
+            tok.append(int(rng.choice(follow[tok[-1]])))
+        rows.append((i, " ".join(f"w{k}x{k % 7}" for k in tok)))
+    got = op3_lm.score(documents(spark, rows=rows), ~held_out("doc_id", 7, 2), epochs=3).where("held_out").collect()
+    assert len(got) > 20 and sum(r.score for r in got) > 0.5 * sum(r.base_score for r in got)
 
 
 def test_lm_classes_sum_to_one_and_training_helps(spark):
