@@ -1,11 +1,12 @@
 """Embedding near-dedup by a subspace pigeonhole join.
 
 Unit vectors are rotated and split into blocks of few dimensions. If two are within a squared distance of 2 - 2 cos, some block's
-share of it is within the block's share of the budget (in proportion to its size), so each block is joined by range on a grid over its
-first two coordinates and the union of the candidates is verified exactly, in double precision, on the vectors as they came.
-A pair counts in the first block that finds it only, so counts add up and no pair is ever written: a task returns
-each vector's links and a forest that spans them. Equal vectors of one label are one class with a count. A grid cell with
-more vectors than ``CELL`` is cut into chunks, and each two chunks meet in a task of their own.
+share of it is within the block's share of the budget (in proportion to its size), so each block is joined by range and the union of
+the candidates is verified exactly, in double precision, on the vectors as they came. A label of at most ``CELL`` vectors is joined as one
+cell in each block; of a larger one each block has a grid over its first two coordinates. A pair counts in the first block that finds
+it only, so counts add up and no pair is ever written: a task returns each vector's links and a forest that spans them. Equal vectors of
+one label (by 128 bits of hash) are one class with a count. A grid cell with more vectors than ``CELL`` is cut into chunks, and each two
+chunks meet in a task of their own.
 
 Cases: a null, empty or zero vector, one with null or non-finite components and one without label link with nothing and are
 returned with 0 links; vectors of different lengths aren't compared; repeated rows are linked copies; an empty table gives
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .base import staged
 from .components import components
@@ -50,26 +52,29 @@ def _blocks(dims: int, like: float) -> list[tuple[int, int, float]]:
 _VISITS = [(0, 0), (-1, 0), (0, -1), (-1, -1), (-1, 1)]
 
 
-def _cells(classes: DataFrame, like: float) -> DataFrame:
-    """(c, n, label, vec, block, gx, gy, home) for each cell that a vector lies in or visits."""
+def _cells(classes: DataFrame, like: float, columns: tuple[str, ...]) -> DataFrame:
+    """``columns`` of the classes, block, gx, gy and home for each cell that a vector lies in or visits."""
 
     def run(batches):
         for batch in batches:
             size = np.array([len(v) for v in batch.column("vec").to_pylist()])
             flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             first = np.concatenate([[0], np.cumsum(size)])
+            wide = batch.column("wide").to_numpy(zero_copy_only=False)
             for dims in np.unique(size):
-                row = np.flatnonzero(size == dims)
-                x = _turned(flat[first[row][:, None] + np.arange(dims)])
-                for k, (a, b, budget) in enumerate(_blocks(int(dims), like)):
-                    gx = np.floor(x[:, a] / budget**0.5).astype(np.int32)
-                    gy = np.floor(x[:, min(a + 1, b - 1)] / budget**0.5).astype(np.int32)
-                    own = batch.take(pa.array(row))
-                    for dx, dy in _VISITS:
-                        n = len(row)
-                        yield pa.record_batch([*own.columns, pa.array(np.full(n, k, np.int32)), pa.array(gx + np.int32(dx)), pa.array(gy + np.int32(dy)), pa.array(np.full(n, (dx, dy) == (0, 0)))], names=[*own.schema.names, "block", "gx", "gy", "home"])
+                for grid in (False, True):
+                    row = np.flatnonzero((size == dims) & (wide == grid))
+                    if not len(row):
+                        continue
+                    own = batch.select(list(columns)).take(pa.array(row))
+                    x = _turned(flat[first[row][:, None] + np.arange(dims)]) if grid else None
+                    for k, (a, b, budget) in enumerate(_blocks(int(dims), like)):
+                        gx, gy = (np.floor(x[:, i] / budget**0.5).astype(np.int32) for i in (a, min(a + 1, b - 1))) if grid else np.zeros((2, len(row)), np.int32)
+                        for dx, dy in _VISITS if grid else _VISITS[:1]:
+                            yield pa.record_batch([*own.columns, pa.array(np.full(len(row), k, np.int32)), pa.array(gx + np.int32(dx)), pa.array(gy + np.int32(dy)), pa.array(np.full(len(row), (dx, dy) == (0, 0)))], names=[*columns, "block", "gx", "gy", "home"])
 
-    return classes.select("c", "n", "label", "vec", "dims").mapInArrow(run, f"c long, n long, label {classes.schema['label'].dataType.simpleString()}, vec array<float>, dims int, block int, gx int, gy int, home boolean")
+    schema = ", ".join(f"`{c}` {classes.schema[c].dataType.simpleString()}" for c in columns)
+    return classes.select(*dict.fromkeys([*columns, "vec", "wide"])).mapInArrow(run, f"{schema}, block int, gx int, gy int, home boolean")
 
 
 def _met(table: pa.Table, block: int, one: int, two: int, like: float) -> pa.Table:
@@ -89,10 +94,10 @@ def _met(table: pa.Table, block: int, one: int, two: int, like: float) -> pa.Tab
     right = np.flatnonzero(chunk == two)
     found = []
     for k in range(0, len(left), 512):
-        i = left[k : k + 512]
-        near = square[i, None] + square[right] - 2 * (part[i] @ part[right].T) <= budget + 1e-5
+        i, j = left[k : k + 512], right[k:] if one == two else right
+        near = square[i, None] + square[j] - 2 * (part[i] @ part[j].T) <= budget + 1e-5
         p, q = np.nonzero(near)
-        p, q = i[p], right[q]
+        p, q = i[p], j[q]
         on = (home[p] | home[q]) & ((p < q) if one == two else True) & (c[p] != c[q])
         p, q = p[on], q[on]
         for m in range(0, len(p), 1 << 16):
@@ -123,14 +128,18 @@ def _met(table: pa.Table, block: int, one: int, two: int, like: float) -> pa.Tab
 
 def near_vectors(vectors: DataFrame, like: float = LIKE, cell: int = CELL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of all rows of (vec_id, embedding, label)."""
-    v = vectors.select("vec_id", "label", F.col("embedding").cast("array<float>").alias("vec"))
+    kind = vectors.schema["embedding"].dataType
+    kind = "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "double"
+    v = vectors.select("vec_id", "label", F.col("embedding").cast(f"array<{kind}>").alias("vec"))
     good = F.forall("vec", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("vec", lambda e: e != 0) & F.col("label").isNotNull()
-    v = v.withColumn("c", F.when(good, F.xxhash64("label", "vec", F.size("vec"))))
-    classes = v.where("c is not null").groupBy("c").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
-    classes = staged(classes.withColumn("dims", F.size("vec")), "vectors")
-    cells = _cells(classes, like)
+    v = v.withColumns({f"h{k}": F.when(good, F.xxhash64(F.lit(k), "label", "vec", F.size("vec"))) for k in (1, 2)})
+    classes = v.where("h1 is not null").groupBy("h1", "h2").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
+    classes = staged(classes.withColumns({"dims": F.size("vec"), "c": F.monotonically_increasing_id()}), "vectors")
+    labels = classes.groupBy("label", "dims").count().where(F.col("count") > cell).select("label", "dims", F.lit(True).alias("wide"))
+    told = classes.join(labels, ["label", "dims"], "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
+    cells = _cells(told, like, ("c", "n", "label", "vec", "dims"))
     key = ["label", "dims", "block", "gx", "gy"]
-    large = cells.groupBy(*key).count().where(F.col("count") > cell).select(*key, F.ceil(F.col("count") / (cell // 2)).cast("int").alias("chunks"))
+    large = _cells(told.where("wide"), like, ("label", "dims")).groupBy(*key).count().where(F.col("count") > cell).select(*key, F.ceil(F.col("count") / (cell // 2)).cast("int").alias("chunks"))
     large = staged(large, "cells")
     cut = cells.join(large, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     cut = cut.withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"))
@@ -145,8 +154,8 @@ def near_vectors(vectors: DataFrame, like: float = LIKE, cell: int = CELL) -> Da
     links = met.groupBy("c").agg(F.sum("links").alias("links"))
     facts = classes.select("c", "n", "least").join(links, "c", "left").join(comp.toDF("c", "comp"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     least = facts.groupBy("comp").agg(F.min("least").alias("component_id"))
-    facts = facts.join(least, "comp").select("c", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = v.select("vec_id", "c").join(facts, "c", "left")
+    facts = facts.join(least, "comp").join(classes.select("c", "h1", "h2"), "c").select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    out = v.select("vec_id", "h1", "h2").join(facts, ["h1", "h2"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -36,6 +36,16 @@ def test_vectors_against_all_pairs(spark, cell):
     assert op7_vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_keep_double_precision(spark):
+    one = np.random.default_rng(4).normal(size=16)
+    rows = [(1, one.tolist(), 0), (2, (one * (1 + 1e-12)).tolist(), 0), (3, one.tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, op7_vectors.near_vectors(df).collect())) == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False)]
+    far = [(1, [1.0, 0.0], "a"), (2, [0.93, (1 - 0.93**2) ** 0.5 * (1 - 1e-12)], "a"), (3, [0.93, (1 - 0.93**2) ** 0.5 * (1 + 1e-9)], "a")]
+    got = {r.vec_id: r.n_links for r in op7_vectors.near_vectors(spark.createDataFrame(far, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_pigeonhole_budgets():
     blocks = op7_vectors._blocks(64, 0.93)
     assert blocks[0][0] == 0 and blocks[-1][1] == 64 and sum(b for *_, b in blocks) >= 0.14
