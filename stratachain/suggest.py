@@ -17,11 +17,13 @@ from .plans.specs import parse_aggr, parse_dim
 
 #: Rows looked at for facts about a column, and distinct values up to which it counts as categorical.
 SCAN, FEW = 20_000, 64
+#: Rows that templates are tried on.
+TRIED = 50
 
 
 @dataclass(frozen=True)
 class Template:
-    """A spec that parses and runs on the frame it was offered for."""
+    """A spec that parses and, if it was offered for a frame and not for types only, runs on rows of it."""
 
     spec: str
     label: str
@@ -134,17 +136,35 @@ def spec_templates(kind: str, source: DataFrame | Mapping[str, T.DataType], targ
             for k in texts[:1]:
                 for m in numbers[:1]:
                     add(f"topnames({k}, {m}, 5)", f"top {k} by {m}")
-    done, made = set(), []
+    made = {}
     for spec, label in out:
-        if spec in done:
-            continue
         try:
             (parse_aggr if kind == "aggr" else parse_dim)(spec, names)
         except SpecError:
             continue
-        done.add(spec)
-        made.append(Template(spec, label))
-    return made
+        made.setdefault(spec, Template(spec, label))
+    if isinstance(source, DataFrame):
+        few = source.sparkSession.createDataFrame(source.limit(TRIED).collect(), source.schema)
+        made = {t.spec: t for t in _running(kind, few, target if target in kinds else names[0] if names else None, list(made.values()))}
+    return list(made.values())
+
+
+def _running(kind: str, few: DataFrame, target: str | None, tried: list[Template]) -> list[Template]:
+    """Those of the specs that run on the rows given: all at once, and where that fails each half by itself."""
+    from .operators.chain import agg, dim
+
+    if not tried or kind == "aggr" and target is None:
+        return []
+    try:
+        if kind == "aggr":
+            made = agg(few, [], cols=[(target, t.spec, f"__tried_{i}") for i, t in enumerate(tried)])
+        else:
+            made = dim(few, *((f"__tried_{i}", t.spec) for i, t in enumerate(tried)))
+        made.collect()
+        return tried
+    except Exception:  # whatever Spark objects to, the spec isn't offered
+        half = len(tried) // 2
+        return _running(kind, few, target, tried[:half]) + _running(kind, few, target, tried[half:]) if half else []
 
 
 def spec_vocabulary(kind: str, columns: Iterable[str] = ()) -> list[str]:

@@ -4,9 +4,13 @@ import math
 
 import pytest
 
-from stratachain import agg, aggs, dim, dims
+from pyspark.sql import functions as F
+
+from stratachain import agg, aggs, dim, dims, register_op, suggest
 from stratachain.errors import SpecError
+from stratachain.functions.registry import unregister
 from stratachain.streaming.batches import each_batch
+from stratachain.suggest import spec_templates
 
 SCHEMA = "k string, d double, g int, x long, y double"
 ROWS = [("a", 1.0, 1, 2, 0.5), ("a", float("nan"), 1, 3, 1.5), (None, float("nan"), 2, 5, None), (None, -0.0, None, 7, 2.5), ("b", 0.0, 1, None, 3.5), ("b", None, 2, 11, 4.5)]
@@ -106,3 +110,19 @@ def test_verbs_on_micro_batches(spark, tmp_path):
     both = aggs("k", cols=[("share", "maximum", "m")]) @ dims(["k", ("share", "x / sum(x)")])
     each_batch(stream, both, lambda df, number: got.append((number, {r.k: r.m for r in df.collect()}))).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
     assert [n for n, _ in got] == [0, 1] and sorted(m["a"] for _, m in got) == [0.6, 0.75] and all(m["b"] == 1 for _, m in got)
+
+
+def test_templates_run_on_the_frame(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 1, None, [1]), (None, 2, 0.5, None)], "k string, x int, y double, odd array<int>")
+    for target in ("k", "x", "y"):
+        for t in spec_templates("aggr", df, target):
+            agg(df, [], cols=[(target, t.spec, "v")]).collect()
+        for t in spec_templates("dim", df, target):
+            dim(df, ("v", t.spec)).collect()
+    assert "sum(skipmissing(_))" in [t.spec for t in spec_templates("aggr", df, "y")] and spec_templates("dim", df)
+    register_op("broken", lambda x: x + F.col("no_such_column"), "reduce", 1, 1, ())
+    try:
+        kept = suggest._running("aggr", df, "x", [suggest.Template("sum(_)", ""), suggest.Template("broken(_)", ""), suggest.Template("length(_)", "")])
+    finally:
+        unregister("broken")
+    assert [t.spec for t in kept] == ["sum(_)", "length(_)"]
