@@ -4,7 +4,9 @@ Lines, paragraphs and the whole text are each a unit. A unit is normalised (A-Z
 cut to words, and compared by its set of bigrams with the templates whose size the Dice bound admits: with likeness t a
 unit of n bigrams can only match templates of n*t/(2-t) to n*(2-t)/t bigrams. Besides, all stretches of the text that have
 as many bigrams as a template, at every position, over line ends and comment marks, are compared with it in the same way, so that a notice
-is found inside a longer line. Texts without any word that a match must hold aren't cut up at all. Everything happens within a row;
+is found inside a longer line. A unit counts for the template that it is most like, of equally like ones for all; a stretch counts for its
+template unless another id's is more like a stretch that begins within a fifth of the template's length of it. So versions of a licence, whose
+texts are alike, are told apart. Texts without any word that a match must hold aren't cut up at all. Everything happens within a row;
 nothing is shuffled. The SQL knows the units only: it finds the same or less.
 
 Cases: null and empty texts, and units of one word, match nothing (no id, score 0); of templates that match a unit equally well the
@@ -102,8 +104,12 @@ def _windows(grams: Column, templates: Column, known: Column, like: float) -> Co
         # a match holds t["need"] bigrams of the template; starts are all from which so many lie within its length
         dense = F.filter(F.sequence(F.lit(0), F.size(hits) - t["need"]), lambda k: hits[k + t["need"] - 1] - hits[k] < t["length"])
         starts = F.array_distinct(F.flatten(F.transform(dense, lambda k: F.sequence(F.greatest(hits[k] - t["length"] + 1, F.lit(0)), F.least(hits[k], F.size(grams) - t["length"])))))
-        dice = lambda w: F.struct((F.size(F.array_intersect(w, t["grams"])) * 2.0 / (F.size(w) + t["n"])).alias("score"), t["id"].alias("id"))
-        return F.filter(F.transform(starts, lambda i: _let(F.array_distinct(F.slice(grams, i + 1, t["length"])), dice)), lambda d: d["score"] >= like)
+        dice = lambda w, u: _let(w, lambda w: F.size(F.array_intersect(w, u["grams"])) * 2.0 / (F.size(w) + u["n"]))
+        near = lambda i: F.sequence(F.greatest(i - t["shift"], F.lit(0)), i + t["shift"])
+        beaten = lambda i, own: F.exists(t["rivals"], lambda u: F.exists(near(i), lambda j: dice(F.array_distinct(F.slice(grams, j + 1, u["length"])), u) > own))
+        best = lambda i, own: F.when((own >= like) & ~beaten(i, own), F.struct(own.alias("score"), t["id"].alias("id")))
+        hits = F.transform(starts, lambda i: _let(dice(F.array_distinct(F.slice(grams, i + 1, t["length"])), t), lambda own: best(i, own)))
+        return F.filter(hits, lambda d: d.isNotNull())
 
     def placed(t: Column) -> Column:
         return _let(F.filter(F.transform(grams, lambda g, p: F.when(F.array_contains(t["grams"], g), p)), lambda p: p.isNotNull()), lambda hits: windows(t, hits))
@@ -121,7 +127,11 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, like: f
     by_id = templates if templates is not None else TEMPLATES
     lengths = [len(p) for k in sorted(by_id) for t in by_id[k] if (p := _pairs(t))]
     need = lambda g: math.ceil(len(g) * like / (2 - like) - 1e-9)
-    table = F.array(*(F.struct(F.lit(k).alias("id"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("n"), F.lit(m).alias("length"), F.lit(need(g)).alias("need")) for (k, g), m in zip(made, lengths, strict=True)))
+    look = lambda g, m: [F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("n"), F.lit(m).alias("length")]
+    every = [(k, g, m) for (k, g), m in zip(made, lengths, strict=True)]
+    # what is nearer than another to a stretch that is 0.8 like that shares half of its bigrams
+    rivals = lambda k, g: F.array(*(F.struct(*look(h, m)) for j, h, m in every if j != k and 4 * len(set(g) & set(h)) >= len(g) + len(h))).cast("array<struct<grams:array<string>,n:int,length:int>>")
+    table = F.array(*(F.struct(F.lit(k).alias("id"), *look(g, m), F.lit(need(g)).alias("need"), F.lit(m // 5 + 1).alias("shift"), rivals(k, g).alias("rivals")) for k, g, m in every))
     known = F.array(*map(F.lit, sorted({x for _, g in made for x in g})))
     least, most = min(len(g) for _, g in made), max(len(g) for _, g in made)
     low, high = like / (2 - like), (2 - like) / like
@@ -134,7 +144,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, like: f
     def matched(g: Column) -> Column:
         fits = F.filter(F.col("_templates"), lambda t: (t["n"] >= F.size(g) * low) & (t["n"] <= F.size(g) * high))
         dice = F.transform(fits, lambda t: F.struct((F.size(F.array_intersect(g, t["grams"])) * 2.0 / (F.size(g) + t["n"])).alias("score"), t["id"].alias("id")))
-        return F.filter(dice, lambda d: d["score"] >= like)
+        good = F.filter(dice, lambda d: d["score"] >= like)
+        return _let(F.array_max(F.transform(good, lambda d: d["score"])), lambda top: F.filter(good, lambda d: d["score"] == top))
 
     # the best of all: the highest score, then the first id
     best = F.aggregate("_hits", F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("id")), lambda a, d: F.when((d["score"] > a["score"]) | ((d["score"] == a["score"]) & (d["id"] < a["id"])), d).otherwise(a))
@@ -158,10 +169,10 @@ units AS (SELECT DISTINCT r, u FROM (
   UNION ALL SELECT r, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) FROM docs
   UNION ALL SELECT r, text FROM docs)),
 words AS (SELECT r, list_filter(string_split(regexp_replace(regexp_replace(translate(u, '{_UPPER}', '{_LOWER}'), '[^a-z0-9.]+', ' ', 'g'), '\\.+( |$)', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM units),
-grams AS (SELECT r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) > 1),
-hits AS (SELECT r, id, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS score FROM grams JOIN templates
+grams AS (SELECT row_number() OVER () AS k, r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) > 1),
+hits AS (SELECT k, r, id, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS score FROM grams JOIN templates
   ON len(grams) >= len(g) * {low!r} AND len(grams) <= len(g) * {high!r}),
-kept AS (SELECT * FROM hits WHERE score >= {like}),
+kept AS (SELECT * FROM hits WHERE score >= {like} QUALIFY score = max(score) OVER (PARTITION BY k)),
 best AS (SELECT r, id, score FROM kept QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, id) = 1),
 all_ids AS (SELECT r, string_agg(id, ',' ORDER BY id) AS licenses FROM (SELECT DISTINCT r, id FROM kept) GROUP BY r)
 SELECT doc_id, best.id AS license_id, round(coalesce(best.score, 0), 6) AS score, coalesce(licenses, '') AS licenses

@@ -278,13 +278,15 @@ def test_license_against_its_sql(spark):
 
 
 def _windowed(text):
-    """(id, score) of template-sized windows, by trying every position."""
+    """(id, score) of template-sized windows, by trying every position; of licences that are alike the one nearest there."""
     w, found = op8_license._pairs(text), {}
-    for k, texts in op8_license.TEMPLATES.items():
-        for t in map(op8_license._pairs, texts):
-            for i in range(len(w) - len(t) + 1):
-                a, b = set(w[i : i + len(t)]), set(t)
-                if (d := 2 * len(a & b) / (len(a) + len(b))) >= op8_license.LIKE:
+    every = [(k, set(g), len(g)) for k, texts in op8_license.TEMPLATES.items() for g in map(op8_license._pairs, texts)]
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b))
+    for k, t, n in every:
+        for i in range(len(w) - n + 1):
+            if (d := dice(set(w[i : i + n]), t)) >= op8_license.LIKE:
+                near = [dice(set(w[j : j + m]), u) for o, u, m in every if o != k for j in range(max(0, i - n // 5 - 1), i + n // 5 + 2) if w[j : j + m]]
+                if d >= max(near):
                     found[k] = max(found.get(k, 0), d)
     return found
 
@@ -300,9 +302,12 @@ def test_license_inside_longer_lines(spark):
         (5, "word " * 5000 + "this one is licensed under CC BY-SA 4.0 they say " + "word " * 5000),
         (6, "the general public likes software under a license of version 2 and all rights are reserved"),
         (7, "code licensed under the Apache License, Version 2.0 and docs licensed under CC BY 4.0 too, all rights reserved by us"),
+        (8, "This work is licensed under the GNU General Public License, version 2."),
+        (9, "Note that this work is licensed under the GNU General Public License, version 3, as is all of it"),
+        (10, "This work is licensed under the GNU Lesser General Public License, version 3.\nThis work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ]
     got = {r.doc_id: r for r in op8_license.scan(documents(spark, rows=rows)).collect()}
-    assert {i: got[i].licenses for i, _ in rows} == {1: "Proprietary", 2: "MIT", 3: "MIT", 4: "MIT", 5: "CC-BY-SA-4.0", 6: "", 7: "Apache-2.0,CC-BY-4.0,Proprietary"}
+    assert {i: got[i].licenses for i, _ in rows} == {1: "Proprietary", 2: "MIT", 3: "MIT", 4: "MIT", 5: "CC-BY-SA-4.0", 6: "", 7: "Apache-2.0,CC-BY-4.0,Proprietary", 8: "GPL-2.0", 9: "GPL-3.0", 10: "CC-BY-SA-4.0,LGPL-3.0"}
     for i, t in rows:
         want = _windowed(t)
         assert got[i].licenses == ",".join(sorted(want)) and got[i].score == pytest.approx(max(want.values(), default=0), abs=1e-6)
