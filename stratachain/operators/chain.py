@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import SpecError
-from ..plans.lower import Lowerer, c, needs_rows, temp
+from ..plans.lower import Lowerer, Plain, c, needs_rows, temp
 from ..plans.nodes import Col, Node, columns
 from ..plans.specs import AggrSpec, DimSpec, HostSpec, check_cols, dimspec, parse_dim, trusted
 from .hints import AggrHints, as_spec, hints
@@ -77,9 +77,9 @@ def _numbered(df: DataFrame) -> tuple[DataFrame, str]:
     return df.withColumn(row, F.monotonically_increasing_id()), row
 
 
-def _measured(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, AggrSpec | HostSpec, str]], row: str | None) -> tuple[DataFrame, list[Column]]:
+def _measured(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, AggrSpec | HostSpec, str]], row: str | None, plain: Plain | None = None) -> tuple[DataFrame, list[Column]]:
     """The frame with what the measures need staged, and the aggregate Column of each."""
-    low = Lowerer(df, keys, row=row)
+    low = Lowerer(df, keys, row=row, plain=plain)
     out = []
     for source, spec, name in wanted:
         if isinstance(spec, HostSpec):
@@ -93,12 +93,12 @@ def _measured(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, Ag
     return low.df, out
 
 
-def _window(df: DataFrame, d: Dimension, row: str | None) -> DataFrame:
+def _window(df: DataFrame, d: Dimension, row: str | None, plain: Plain) -> DataFrame:
     if isinstance(d.spec, HostSpec):
         w = Window.partitionBy(*map(c, d.left))
         low = Lowerer(df, d.left, order=d.spec.order, row=row)
         return df.withColumn(d.name, d.spec.make(w.orderBy(*low.sort(low.env)) if d.spec.order else w))
-    low = Lowerer(df, d.left, order=d.spec.order, row=row)
+    low = Lowerer(df, d.left, order=d.spec.order, row=row, plain=plain)
     col = low.dimension(d.spec.body)
     return low.df.withColumn(d.name, col)
 
@@ -159,7 +159,7 @@ def _reads(bodies: Sequence[Node], known: dict[Node, str]) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def _apply(df: DataFrame, dims: Sequence[Dimension], h: AggrHints, replace: bool, row: str | None) -> DataFrame:
+def _apply(df: DataFrame, dims: Sequence[Dimension], h: AggrHints, replace: bool, row: str | None, plain: Plain) -> DataFrame:
     order = list(df.columns)
     for d in dims:
         have = [n for n in df.columns if n != row]
@@ -174,7 +174,8 @@ def _apply(df: DataFrame, dims: Sequence[Dimension], h: AggrHints, replace: bool
             for n in [k.column for k in d.spec.order] + columns(*(d.spec.by or ())):
                 if n not in have:
                     raise SpecError(f"dimension '{d.name}' references column '{n}', which isn't there", "unknown_column", n)
-        df = _pivot(df, d, h, row) if d.spec.kind == "pivot" else _window(df, d, row)
+        df = _pivot(df, d, h, row) if d.spec.kind == "pivot" else _window(df, d, row, plain)
+        plain.names.discard(d.name)
         if d.name not in order:
             order.append(d.name)
         df = df.select(*map(c, order))
@@ -199,8 +200,9 @@ def dim(df: DataFrame, *chains, hints: AggrHints | dict | None = None, replace:
     h, row = _as_hints(hints), None
     if any(_sensitive(d.spec) for _, dims in plans for d in dims):
         df, row = _numbered(df)
+    plain = Plain(df)
     for _, dims in plans:
-        df = _apply(df, dims, h, replace, row)
+        df = _apply(df, dims, h, replace, row, plain)
     return df.drop(row) if row else df
 
 
@@ -246,8 +248,9 @@ def agg(df: DataFrame, chain, hints: AggrHints | dict | None = None, cols=None,
     plain = list(df.columns)
     if any(_sensitive(d.spec) for d in dims):
         df, row = _numbered(df)
+    given = Plain(df)
     if dims:
-        df = _apply(df, dims, h, False, row)
+        df = _apply(df, dims, h, False, row, given)
     for k in keys:
         if k not in df.columns:
             raise SpecError(f"key '{k}' isn't there. Available columns: {', '.join(plain)}", "unknown_column", k)
@@ -256,7 +259,7 @@ def agg(df: DataFrame, chain, hints: AggrHints | dict | None = None, cols=None,
         return df.select(*map(c, keys)).distinct()
     if row is None and any(_sensitive(s) for _, s, _ in wanted if isinstance(s, AggrSpec)):
         df, row = _numbered(df)
-    staged, out = _measured(df, keys, wanted, row)
+    staged, out = _measured(df, keys, wanted, row, given)
     return staged.groupBy(*map(c, keys)).agg(*out)
 
 

@@ -1,9 +1,10 @@
 """From syntax tree to Spark Columns.
 
 A spec is lowered against a frame, the columns that partition it (the left context, or the keys of an aggregation) and an order.
-Reductions become aggregates of a ``groupBy`` by the partition, combined map-side, and joined back null-safe; those over the whole
-frame are one row, broadcast. In an aggregation the outermost ones become aggregates of its own ``groupBy``. A reduction of nested
-groups is two aggregations, by partition and groups and then by partition. Windows are for what depends on order.
+Reductions of the frame's own columns become aggregates of a ``groupBy`` by the partition, combined map-side, and joined back null-safe;
+the aggregation reads the frame that the verb was given, so a chain's plan grows with its length only. Reductions of what a chain has
+computed are aggregates over windows. Those over the whole frame are one row, broadcast. In an aggregation the outermost ones become
+aggregates of its own ``groupBy``. A reduction of nested groups is two aggregations, by partition and groups and then by partition.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from ..errors import SpecError
 from ..functions import registry
 from ..functions.labels import Style, interval_labels, quantile_labels
-from .nodes import And, Arr, Call, Col, Grouped, Lit, Node, Or, Sym, Target, text, walk
+from .nodes import And, Arr, Call, Col, Grouped, Lit, Node, Or, Sym, Target, columns, text, walk
 from .parser import OrderKey
 
 _numbers = count()
@@ -68,6 +69,16 @@ def needs_rows(*nodes: Node) -> bool:
     return False
 
 
+class Windowed:
+    """Makes aggregates values over a window of the partition."""
+
+    def __init__(self, parts: Sequence[Column]):
+        self.window = Window.partitionBy(*parts)
+
+    def __call__(self, a: Column) -> Column:
+        return a.over(self.window)
+
+
 @dataclass(frozen=True)
 class Val:
     """Lowered values. ``flag``: the rows that stand for one value each of a collection, in ``order``; ``skip``: missing ones are dropped;
@@ -84,6 +95,13 @@ class Val:
         return self.col if self.flag is None else F.when(self.flag, self.col)
 
 
+class Plain:
+    """A frame as a verb was given it, and the names of its columns that still mean the same."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.names = df, set(df.columns)
+
+
 @dataclass(frozen=True)
 class Env:
     parts: tuple[Column, ...]
@@ -92,13 +110,14 @@ class Env:
 
 
 class Lowerer:
-    def __init__(self, df: DataFrame, keys: Sequence[str], target: str | None = None, order: Sequence[OrderKey] = (), row: str | None = None, known: dict[Node, str] | None = None):
-        self.df, self.target, self.row = df, target, row
+    def __init__(self, df: DataFrame, keys: Sequence[str], target: str | None = None, order: Sequence[OrderKey] = (), row: str | None = None, known: dict[Node, str] | None = None, plain: Plain | None = None):
+        self.df, self.target, self.row, self.plain = df, target, row, plain
         self.keys = tuple(keys)
         self.env = Env(tuple(c(k) for k in keys), tuple(order))
         self.known = known or {}
         self.pending: dict[Any, tuple[tuple[Column, ...], list[tuple[str, Column]]]] = {}
-        self.groups: dict[tuple, Val] = {}  # nested groupings that are staged already
+        self.groups: dict[tuple, Any] = {}  # nested groupings that are staged already
+        self.nested: dict[tuple, tuple[Env, tuple[Node, ...], list[tuple[str, Call]]]] = {}  # reductions of nested groups by grouping
 
     # -- frame
 
@@ -114,7 +133,11 @@ class Lowerer:
         for parts, aggs in waiting.values():
             names = [temp("j") for _ in parts]
             cols = [col.alias(name) for name, col in aggs]
-            self.attach(parts, names, base.groupBy(*(p.alias(n) for p, n in zip(parts, names, strict=True))).agg(*cols))
+            frame = self.plain.df if parts else base
+            self.attach(parts, names, frame.groupBy(*(p.alias(n) for p, n in zip(parts, names, strict=True))).agg(*cols))
+        grouped, self.nested = self.nested, {}
+        for (target, _), (env, keys, found) in grouped.items():
+            self.reduce_groups(target, env, keys, found)
 
     def attach(self, parts: Sequence[Column], names: Sequence[str], values: DataFrame, *more: Column) -> None:
         """Join ``values``, a row for each combination of ``names``, to the rows of the parts; without parts it is one row."""
@@ -128,10 +151,12 @@ class Lowerer:
         self.flush()
         return self.df.select(col.alias("x")).schema[0].dataType
 
-    def over(self, env: Env) -> Callable[[Column], Column]:
-        """How an aggregate Column becomes a value here."""
+    def over(self, env: Env, plain: bool = False) -> Callable[[Column], Column]:
+        """How an aggregate Column becomes a value here; ``plain``: it reads nothing but columns of the verb's frame."""
         if env.final:
             return lambda a: a
+        if env.parts and not plain:
+            return Windowed(env.parts)
 
         def later(a: Column) -> Column:
             name = temp("g")
@@ -140,6 +165,17 @@ class Lowerer:
 
         return later
 
+    def reads_plain(self, env: Env, *nodes: Node) -> bool:
+        """Whether nodes, partition and order are made of columns of the verb's frame, without other reductions."""
+        if self.plain is None or len(env.parts) != len(self.keys):
+            return False
+        inside = [n for x in nodes for n in walk(x)]
+        names = {*self.keys, *columns(*nodes), *(k.column for k in env.order)} | ({self.target} if any(isinstance(n, Target) for n in inside) else set())
+        if self.row is not None and needs_rows(*nodes):
+            names.add(self.row)
+        scalar = all(not isinstance(n, Grouped) and n not in self.known and (not isinstance(n, Call) or (op := registry.op(n.name)).host is None and op.shape in ("elementwise", "filter")) for n in inside)
+        return scalar and names <= self.plain.names
+
     def sort(self, env: Env) -> list[Column]:
         """Sort keys: missing last ascending, first descending; ties by row."""
         keys = [c(k.column).desc_nulls_first() if k.desc else c(k.column).asc_nulls_last() for k in env.order]
@@ -221,27 +257,43 @@ class Lowerer:
         found = groupings(node.args[0]) if node.args else None
         if not found or any(g in self.known for g in found) or len({g.keys for g in found}) > 1:
             return None
-        seen = ("reduce", node, self.target, env.order, tuple(map(str, env.parts)))
+        by = found[0].keys
+        if not env.final and env.parts and not (self.reads_plain(env, *by) and all(self.plain_reduction(g.inner, env) for g in found)):
+            return None
+        at = (by, env.order, tuple(map(str, env.parts)))
+        seen = ("reduce", node, self.target, at)
         if seen not in self.groups:
-            by = []
-            for k in found[0].keys:
-                v = self.value(k, replace(env, final=False))
-                by.append(self.stage(v.col, "k") if v.window else v.col)
-            self.flush()
-            low = Lowerer(self.df, self.keys, self.target, (), self.row, self.known)
-            inner = {g: low.value(g.inner, Env((*env.parts, *by), env.order, True)).col for g in dict.fromkeys(found)}
-            low.flush()
-            parts, keys, made = [temp("j") for _ in env.parts], [temp("k") for _ in by], {g: temp() for g in inner}
-            groups = low.df.groupBy(*(p.alias(n) for p, n in zip((*env.parts, *by), (*parts, *keys), strict=True))).agg(*(col.alias(made[g]) for g, col in inner.items()))
-            high = Lowerer(groups, parts, known=made)
-            name = temp("g")
-            outer = high.value(node, Env(tuple(map(c, parts)), tuple(OrderKey(k, False) for k in keys), True)).col.alias(name)
-            high.flush()
-            self.attach(env.parts, parts, high.df.groupBy(*map(c, parts)).agg(outer))
-            self.groups[seen] = name
+            self.groups[seen] = temp("g")
+            self.nested.setdefault((self.target, at), (env, by, []))[2].append((self.groups[seen], node))
         value = c(self.groups[seen])
         return F.first(value) if env.final else value
 
+    def plain_reduction(self, node: Node, env: Env) -> bool:
+        """An expression of reductions of the verb's columns."""
+        if isinstance(node, Call) and (op := registry.op(node.name)) and op.host is None and op.shape == "reduce":
+            return self.reads_plain(env, *node.args) and not (self.row and self.row not in self.plain.names and needs_rows(node))
+        return isinstance(node, (Lit, Sym)) or isinstance(node, Call) and op.host is None and op.shape == "elementwise" and all(self.plain_reduction(a, env) for a in node.args)
+
+    def reduce_groups(self, target: str | None, env: Env, keys: tuple[Node, ...], found: Sequence[tuple[str, Call]]) -> None:
+        """Reductions of groups by ``keys``: aggregated by partition and keys, then by partition, for all at once."""
+        inner = {g: None for _, node in found for g in groupings(node.args[0])}
+        plain = not env.final and bool(env.parts)
+        low = Lowerer(self.plain.df if plain else self.df, self.keys, target, (), self.row, self.known, self.plain)
+        by = []
+        for k in keys:
+            v = low.value(k, replace(env, final=False))
+            by.append(low.stage(v.col, "k") if v.window else v.col)
+        for g in inner:
+            inner[g] = low.value(g.inner, Env((*env.parts, *by), env.order, True)).col
+        low.flush()
+        parts, names, made = [temp("j") for _ in env.parts], [temp("k") for _ in by], {g: temp() for g in inner}
+        groups = low.df.groupBy(*(p.alias(n) for p, n in zip((*env.parts, *by), (*parts, *names), strict=True))).agg(*(col.alias(made[g]) for g, col in inner.items()))
+        high = Lowerer(groups, parts, known=made)
+        deep = Env(tuple(map(c, parts)), tuple(OrderKey(k, False) for k in names), True)
+        outer = [high.value(node, deep).col.alias(name) for name, node in found]
+        high.flush()
+        self.attach(env.parts, parts, high.df.groupBy(*map(c, parts)).agg(*outer))
+
     def settled(self, v: Val, env: Env) -> Val:
         """``v`` fit for an aggregate: windows and what other aggregates have made are staged."""
         if v.window:
@@ -262,7 +314,7 @@ class Lowerer:
         if (made := self.two_phase(node, env)) is not None:
             return Val(made, window=not env.final)
         v = self.settled(self.value(node.args[0], inner), env) if node.args else Val(F.lit(1))
-        over = self.over(env)
+        over = self.over(env, self.reads_plain(env, *node.args) and not (node.name in ("first", "last") and (env.order or self.row and self.row not in self.plain.names)))
         rest = [self.constant(a) for a in node.args[1:]]
         col = getattr(self, "r_" + node.name)(v, over, env, *rest, **kw)
         return Val(col, window=not env.final)
@@ -374,7 +426,7 @@ class Lowerer:
     def r_countuniq(self, v, over, env, skipna=True, skipempty=False):
         v = self._blanked(v, skipempty)
         x = v.masked
-        n = over(F.count_distinct(x))
+        n = F.size(over(F.collect_set(x))) if isinstance(over, Windowed) else over(F.count_distinct(x))
         out = n if skipna else n + (over(self.rows(v)) > over(F.count(x))).cast("int")
         return out.cast("long")
 
@@ -425,6 +477,7 @@ class Lowerer:
         if name == "topnames":
             return self.topnames(node, env, **kw)
         v = self.settled(self.value(node.args[0], env), replace(env, parts=env.parts or (F.lit(0),), final=False))
+        self.reading_plain = self.reads_plain(env, node.args[0])
         if name in ("discretize", "quantiles"):
             breaks = node.args[1] if len(node.args) > 1 else None
             col = getattr(self, name)(v, breaks, env, **kw)
@@ -485,7 +538,7 @@ class Lowerer:
         if breaks is None:
             inner = [float(q) for q in quantiles if 0 < q < 1] if quantiles is not None else [i / (ngroups or 4) for i in range(1, ngroups or 4)]
             names = list(bucketstrs or interval_labels([0.0, *sorted(inner), 1.0], False, "bounded", **look))
-            return self._by_quantiles(v, x, sorted(inner), names, leftequal, env)
+            return self._by_quantiles(v, x, sorted(inner), names, leftequal, env, self.reading_plain)
         if quantiles is not None or ngroups is not None:
             raise SpecError("discretize: breaks and quantiles or ngroups are mutually exclusive", "invalid_spec")
         items = breaks.items if isinstance(breaks, Arr) else (breaks,)
@@ -510,9 +563,9 @@ class Lowerer:
         """From 1: number of thresholds at or below x (below x), and one."""
         return F.size(F.filter(inner, (lambda t: t <= x) if leftequal else (lambda t: t < x))) + 1
 
-    def _by_quantiles(self, v: Val, x: Column, inner: list[float], names: list[str], leftequal: bool, env: Env) -> Column:
+    def _by_quantiles(self, v: Val, x: Column, inner: list[float], names: list[str], leftequal: bool, env: Env, plain: bool) -> Column:
         parts = env.parts if v.flag is None else (*env.parts, v.flag)
-        over = self.over(replace(env, final=False, parts=parts))
+        over = self.over(replace(env, final=False, parts=parts), plain and v.flag is None)
         y = x.cast("double")
         if not parts:
             y = self.stage(y)
@@ -571,7 +624,7 @@ class Lowerer:
             names = quantile_labels(inner, leftequal, prefix, suffix)
         except ValueError as e:
             raise SpecError(str(e), "invalid_spec") from None
-        return self._by_quantiles(v, self.number(v.col)[0], inner, names, leftequal, env)
+        return self._by_quantiles(v, self.number(v.col)[0], inner, names, leftequal, env, self.reading_plain)
 
     def topnames(self, node: Call, env: Env, absolute=False, ranksep=". ", dense=True, tol=0, others="Others", parens=False) -> Val:
         n = self.constant(node.args[2])
@@ -643,22 +696,23 @@ class Lowerer:
         else:
             inner = replace(env, final=False)
             y = self.settled(self.value(coll, inner), env)
-            over = self.over(env)
+            plain = self.reads_plain(env, coll)
+            over = self.over(env, plain)
             if env.final:
                 hit = F.array_contains(over(F.collect_set(y.masked)), v.col)
             else:
                 v = self.settled(v, env)
-                hit = self.held(v.col, y, env)
+                hit = self.held(v.col, y, env, plain)
             gap = F.lit(False) if y.skip else over(self.rows(y)) > over(F.count(y.masked))
             found = F.when(hit, True).when(v.col.isNotNull() & ~gap, False)
             v = replace(v, window=True)
         return replace(v, col=~found if negate else found)
 
-    def held(self, x: Column, y: Val, env: Env) -> Column:
+    def held(self, x: Column, y: Val, env: Env, plain: bool) -> Column:
         """Whether y's values in the row's partition hold x: a join with the distinct ones, which are never gathered in a task."""
         self.flush()
         parts, value, mark = [temp("j") for _ in env.parts], temp("j"), temp("f")
-        known = self.df.select(*(p.alias(n) for p, n in zip(env.parts, parts, strict=True)), y.masked.alias(value)).where(c(value).isNotNull()).distinct()
+        known = (self.plain.df if plain else self.df).select(*(p.alias(n) for p, n in zip(env.parts, parts, strict=True)), y.masked.alias(value)).where(c(value).isNotNull()).distinct()
         self.attach(env.parts, parts, known.withColumn(mark, F.lit(True)), x == c(value))
         self.df = self.df.drop(value)
         return F.coalesce(c(mark), F.lit(False))

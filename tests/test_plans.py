@@ -126,3 +126,19 @@ def test_templates_run_on_the_frame(spark, monkeypatch):
     finally:
         unregister("broken")
     assert [t.spec for t in kept] == ["sum(_)", "length(_)"]
+
+
+def test_plans_of_chains_grow_with_their_length(spark, tmp_path):
+    spark.createDataFrame([(k % 3, k % 5, float(k)) for k in range(30)], "g int, h int, x double").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    scans = lambda n: plan(dim(df, ["g", *((f"v{i}", f"x - mean(x) + {'0' if i == 0 else f'sum(v{i - 1})'}") for i in range(n))])).count("FileScan")
+    one, two, four = scans(1), scans(2), scans(4)
+    assert two <= one + 1 and four <= one + 3
+    side = plan(dim(df, ["g", ("a", "mean(x)")], ["h", ("b", "mean(x)")], ["g", "h", ("c", "mean(x)")]))
+    assert side.count("FileScan") == 4 and "Window" not in side
+
+
+def test_replaced_columns_are_read_as_replaced(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "k string, x double")
+    out = dim(df, ("x", "x * 10"), ["k", ("s", "sum(x)")], replace=True)
+    assert sorted(map(tuple, out.collect())) == [("a", 10.0, 40.0), ("a", 30.0, 40.0), ("b", 50.0, 50.0)]
