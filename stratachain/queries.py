@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import agg, aggs, dim, dims, hints, register_classifier, register_op, trusted
+from . import agg, aggs, describe, dim, dims, hints, register_classifier, register_op, trusted
 from .sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -361,6 +361,13 @@ def agg_integer_product(spark, folder):
     return agg(table(spark, folder, "nation", "n_nationkey", "n_regionkey"), "n_regionkey", cols=[("n_nationkey", "prod(_ + 1)", "p"), ("n_nationkey", "prod(2_ - 7)", "q")])
 
 
+@query("describe_column", """
+SELECT 'double' AS type, count(*) AS rows, count(*) - count(c_acctbal) AS missing, count(DISTINCT c_acctbal) AS distincts, min(c_acctbal) AS minimum, max(c_acctbal) AS maximum, round(avg(c_acctbal), 6) AS mean, round(quantile_cont(c_acctbal, 0.5), 4) AS mid FROM customer""")
+def describe_column(spark, folder):
+    out = describe(table(spark, folder, "customer", "c_acctbal"), "c_acctbal")
+    return out.select("type", "rows", "missing", F.col("distinct").alias("distincts"), "minimum", "maximum", F.round("mean", 6).alias("mean"), F.round(F.col("quartiles")[1], 4).alias("mid"))
+
+
 # -- host operators
 
 

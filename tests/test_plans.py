@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from stratachain import agg, aggs, dim, dims, register_op, suggest
+from stratachain import agg, aggs, describe, dim, dims, register_op, suggest
 from stratachain.errors import SpecError
 from stratachain.functions.registry import unregister
 from stratachain.streaming.batches import each_batch
@@ -142,3 +142,9 @@ def test_replaced_columns_are_read_as_replaced(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "k string, x double")
     out = dim(df, ("x", "x * 10"), ["k", ("s", "sum(x)")], replace=True)
     assert sorted(map(tuple, out.collect())) == [("a", 10.0, 40.0), ("a", 30.0, 40.0), ("b", 50.0, 50.0)]
+
+
+def test_describe(frame):
+    got = describe(frame, "x").first()
+    assert (got.type, got["rows"], got.missing, got.distinct, got.minimum, got.maximum, got.mean, got.quartiles) == ("bigint", 6, 1, 5, 2, 11, 5.6, [3, 5, 7])
+    assert describe(frame, "k").first().distinct == 2 and "mean" not in describe(frame, "k").columns
