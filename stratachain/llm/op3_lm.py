@@ -34,7 +34,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 from .base import LOWER, Roller, held_out, mix, slices, staged, utf8, words
 from .bpe import Table
 from .op10_bpe import documents
-from .parts import blob, empty, parted, unpacked
+from .parts import blob, empty, least, parted, restored, squeezed, unpacked
 
 #: Token classes: the end, the most frequent words, hashed endings; and the place of "before the text" among contexts.
 SINGLE, ENDINGS = 64, 128
@@ -44,10 +44,10 @@ BUCKETS = 1 << 14
 EPOCHS, RATE = 10, 0.7
 #: Bytes of text in a part, contexts in a block.
 PART, BLOCK = 8 << 20, 512
-#: Features by kind: a word, a word with one between it and the next, and words with what is before, before that, and both.
-KINDS = ("word", "skipped", "pair", "skip", "triple")
+#: Features of a word with what is before it, before that, and both.
+KINDS = ("pair", "skip", "triple")
 #: Levels of how often a context was seen, and rounds and rate of the mixture's training.
-LEVELS, MIXTURE_EPOCHS, MIXTURE_RATE = 66, 24, 0.6
+LEVELS, MIXTURE_EPOCHS, MIXTURE_RATE = 66, 16, 0.6
 _END, _START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 
 
@@ -269,89 +269,83 @@ class Tokens:
         out[self.first] = start
         return out
 
-    def keys(self, kind: str, shift: int) -> np.ndarray:
+    def features(self, bits: int) -> list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+        """Words (and the start as one), pairs, skips and triples: the distinct ones in order, how often training has each here, and
+        each token's. Words count twice: by themselves, and as what stands two before a token."""
+        key, which = _grouped(np.append(self.h, _START), 64)
+        start, which = which[-1], which[:-1]
+        two = self.before(self.before(which, start), start)
+        n = np.bincount(which, self.train, len(key))
+        n[start] = self.train[self.first].sum()
+        out = [(key, [n, np.bincount(two, self.train, len(key))], [which, self.before(which, start), two])]
         one = self.before(self.h, _START)
         a, b, c = (mix(np.array([k], np.uint64))[0] | np.uint64(1) for k in (11, 12, 13))
-        if kind == "word":
-            return self.h
-        if kind == "skipped":
-            return mix(self.before(one, _START) * c)
-        x = self.h * a
-        if kind != "skip":
-            x = x + one * b
-        if kind != "pair":
-            x = x + self.before(one, _START) * c
-        return mix(x + np.uint64(KINDS.index(kind))) >> np.uint64(shift)
-
-    def distinct(self, kind: str, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The kind's features in order, how often training has each here, and each token's feature."""
-        key = self.keys(kind, shift)
+        pair, skip = self.h * a + one * b, self.h * a + self.before(one, _START) * c
+        for k, x in enumerate((pair, skip, pair + skip)):
+            key, which = _grouped(mix(x + np.uint64(k)) >> np.uint64(64 - bits), bits)
+            out.append((key, [np.bincount(which, self.train, len(key))], [which]))
+        return out
+
+
+def _grouped(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of keys of so many bits, in order, and the number of each key's. Where key and place fit 64 bits, these are sorted as one."""
+    n = len(key)
+    own = n.bit_length()
+    if bits + own <= 64:
+        s = np.sort(key << np.uint64(own) | np.arange(n, dtype=np.uint64))
+        order, s = (s & np.uint64((1 << own) - 1)).astype(np.int64), s >> np.uint64(own)
+    else:
         order = np.argsort(key)
         s = key[order]
-        head = np.ones(len(s), bool)
-        head[1:] = s[1:] != s[:-1]
-        run = np.cumsum(head) - 1
-        which = np.empty(len(s), np.int32)
-        which[order] = run
-        return s[head], np.bincount(which, self.train, int(head.sum())).astype(np.uint32), which
+    head = np.ones(n, bool)
+    head[1:] = s[1:] != s[:-1]
+    which = np.empty(n, np.int32)
+    which[order] = np.cumsum(head, dtype=np.int32) - 1
+    return s[head], which
 
 
-def _dealt(key: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of features by group, and where each group's begin."""
-    group = (mix(key) % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
-    return order, np.searchsorted(group[order], np.arange(groups + 1))
+def _cuts(key: np.ndarray, bits: int, groups: int) -> np.ndarray:
+    """Where each group's range of keys begins among keys in order."""
+    group = (key >> np.uint64(bits - 32)) * np.uint64(groups) >> np.uint64(32)
+    return np.searchsorted(group, np.arange(groups + 1, dtype=np.uint64))
 
 
-def _ask(part: Tokens, number: int, groups: int, shift: int) -> pa.Table:
+def _ask(part: Tokens, number: int, groups: int, bits: int) -> pa.Table:
     """For each group, the part's features and their counts."""
-    found = []
-    for kind in KINDS:
-        key, n, _ = part.distinct(kind, shift)
-        found.append((key, n, *_dealt(key, groups)))
-    some = [g for g in range(groups) if any(begin[g] < begin[g + 1] for *_, begin in found)]
+    found = part.features(bits)
+    cuts = np.stack([_cuts(key, 64 if k == 0 else bits, groups) for k, (key, *_) in enumerate(found)])
+    some = np.flatnonzero((cuts[:, :-1] < cuts[:, 1:]).any(0))
     blobs = []
-    for g in some:
+    for g in some.tolist():
         arrays = []
-        for key, n, order, begin in found:
-            own = order[begin[g] : begin[g + 1]]
-            arrays += [np.diff(key[own], prepend=np.uint64(0)), n[own]]
-        blobs.append(blob(*arrays))
-    return pa.table({"bucket": pa.array(some, pa.int32()), "part": pa.array(np.full(len(some), number)), "ask": pa.array(blobs, pa.binary())})
+        for (key, counts, _), i, j in zip(found, cuts[:, g], cuts[:, g + 1], strict=True):
+            arrays += [least(np.diff(key[i:j], prepend=np.uint64(0))), *(least(n[i:j]) for n in counts)]
+        blobs.append(squeezed(blob(*arrays)))
+    return pa.table({"bucket": pa.array(some.astype(np.int32)), "part": pa.array(np.full(len(some), number)), "ask": pa.array(blobs, pa.binary())})
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(table: pa.Table, bits: int) -> pa.Table:
     """The sums of all that the group's parts have told, for each part in the order of its features."""
-    got = [unpacked(x.as_buffer().to_pybytes()) for x in table.column("ask")]
+    got = [restored(x) for x in table.column("ask")]
     out: list[list[np.ndarray]] = [[] for _ in got]
-    for k in range(len(KINDS)):
-        key = np.concatenate([np.cumsum(x[2 * k], dtype=np.uint64) for x in got])
-        order = np.argsort(key)
-        s = key[order]
-        head = np.ones(len(s), bool)
-        head[1:] = s[1:] != s[:-1]
-        run = np.empty(len(s), np.int32)
-        run[order] = np.cumsum(head) - 1
-        total = np.bincount(run, np.concatenate([x[2 * k + 1] for x in got])).astype(np.uint64)
-        back = total[run].astype(np.uint64 if len(total) and total.max() >> np.uint64(32) else np.uint32)
-        for own, part in zip(out, np.split(back, np.cumsum([len(x[2 * k]) for x in got])[:-1]), strict=True):
-            own.append(part)
-    return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "told": pa.array([blob(*x) for x in out], pa.binary())})
-
-
-def _known(part: Tokens, told: pa.Table, groups: int, shift: int, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    for at, counts in ((0, 2), (3, 1), (5, 1), (7, 1)):
+        _, which = _grouped(np.concatenate([np.cumsum(x[at], dtype=np.uint64) for x in got]), bits if at else 64)
+        cuts = np.cumsum([len(x[at]) for x in got])[:-1]
+        for k in range(at + 1, at + 1 + counts):
+            total = np.bincount(which, np.concatenate([x[k] for x in got]))
+            for own, part in zip(out, np.split(total[which], cuts), strict=True):
+                own.append(least(part))
+    return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "told": pa.array([squeezed(blob(*x)) for x in out], pa.binary())})
+
+
+def _known(part: Tokens, told: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts of each token's word; of its bigram, skip and trigram; and of their contexts."""
-    answers = dict(zip(told.column("bucket").to_pylist(), (unpacked(x.as_buffer().to_pybytes()) for x in told.column("told")), strict=True))
-    n = {}
-    for k, kind in enumerate(KINDS):
-        key, _, which = part.distinct(kind, shift)
-        order, begin = _dealt(key, groups)
-        total = np.zeros(len(key))
-        for g, got in answers.items():
-            total[order[begin[g] : begin[g + 1]]] = got[k]
-        n[kind] = total[which]
-    seen = np.stack([n["pair"], n["skip"], n["triple"]])
-    return n["word"], seen, np.stack([part.before(n["word"], n_docs), n["skipped"], part.before(n["pair"], n_docs)])
+    answers = [restored(x) for x in told.sort_by("bucket").column("told")]
+    total = [np.concatenate([np.zeros(0), *(x[k] for x in answers)]) for k in range(5)]
+    (_, _, (word, one, two)), *rest = part.features(bits)
+    pair, skip, triple = (t[which] for t, (_, _, (which,)) in zip(total[2:], rest, strict=True))
+    start = total[0][one[part.first]] if len(one) else 0  # texts begin as often as a pair does that holds two starts
+    return total[0][word], np.stack([pair, skip, triple]), np.stack([total[0][one], total[1][two], part.before(pair, start)])
 
 
 def _level(n: np.ndarray) -> np.ndarray:
@@ -373,7 +367,7 @@ def _mixed(mixture: np.ndarray, by_class: np.ndarray, seen: np.ndarray, of: np.n
     return a[0] * by_class + (a[1:] * seen / np.maximum(of, 1)).sum(0)
 
 
-#: Places of an event's number: the three levels, the three shares of their contexts' tokens and the class model's probability, as powers of two.
+#: Places of an event's number: the three levels, the three shares of their contexts' tokens and the class model's probability, as powers of two and four.
 _PLACES = (LEVELS, LEVELS, LEVELS, 66, 66, 66, 512)
 
 
@@ -383,7 +377,7 @@ def _events(part: Tokens, by_class: np.ndarray, seen: np.ndarray, of: np.ndarray
     seen, of = seen[:, on] - 1, of[:, on] - 1
     share = np.where(seen > 0, 1 + np.floor(np.log2(np.maximum(of, 1) / np.maximum(seen, 1)) + 0.5).astype(np.int64), 0)
     number = np.zeros(int(on.sum()), np.int64)
-    for size, x in zip(_PLACES, (*_level(of), *share, np.minimum(np.floor(-np.log2(by_class[on]) + 0.5).astype(np.int64), 511)), strict=True):
+    for size, x in zip(_PLACES, (*_level(of), *share, np.minimum(np.floor(-np.log2(by_class[on]) / 2 + 0.5).astype(np.int64), 511)), strict=True):
         number = number * size + x
     return np.unique(number, return_counts=True)
 
@@ -400,7 +394,7 @@ def _mixture_gradient(events: DataFrame, mixture: np.ndarray) -> tuple[np.ndarra
                 x.append(rest % size)
                 rest //= size
             base, own, level = x[0], x[3:0:-1], np.stack(x[:3:-1])  # from the last place to the first
-            p = np.stack([2.0**-base, *(np.where(q > 0, 2.0 ** (1 - q), 0.0) for q in own)])
+            p = np.stack([4.0**-base, *(np.where(q > 0, 2.0 ** (1 - q), 0.0) for q in own)])
             a = _shares(shared.value, level)
             total = (a * p).sum(0)
             like += float(n @ np.log(total))
@@ -456,10 +450,10 @@ def score(docs: DataFrame, keep: Column, epochs: int = EPOCHS, part_bytes: int =
     weights, _ = train(staged(_context_counts(learn, single), "contexts"), epochs)
 
     groups = max(1, parts.agg(F.count_distinct("__part")).first()[0])
-    shift = max(0, 64 - 40 - 2 * groups.bit_length())  # bits of hash that features do without: fewer the more there are
+    bits = min(64, 34 + groups.bit_length())  # of a feature's hash: the more parts, the more features
     own = parts.groupBy("__part")
-    asked = own.applyInArrow(lambda key, t: _ask(Tokens(t, Table(single)), key[0].as_py(), groups, shift), "bucket int, part long, ask binary")
-    answers = staged(asked.groupBy("bucket").applyInArrow(_answer, "part long, bucket int, told binary"), "answers")
+    asked = own.applyInArrow(lambda key, t: _ask(Tokens(t, Table(single)), key[0].as_py(), groups, bits), "bucket int, part long, ask binary")
+    answers = staged(asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, bits), "part long, bucket int, told binary"), "answers")
     answers = answers.withColumnRenamed("part", "__part").groupBy("__part")
     shared = spark.sparkContext.broadcast((weights, size))
 
@@ -467,10 +461,12 @@ def score(docs: DataFrame, keep: Column, epochs: int = EPOCHS, part_bytes: int =
         """A part with the class model's probabilities and its counts."""
         w, size = shared.value
         part = Tokens(left, Table(single))
-        n, seen, of = _known(part, right, groups, shift, n_docs)
-        some, which = np.unique(part.context, return_inverse=True)
+        n, seen, of = _known(part, right, bits)
+        some = np.flatnonzero(np.bincount(part.context))
+        place = np.zeros(some[-1] + 1, np.int64)
+        place[some] = np.arange(len(some))
         log_p = np.concatenate([w.log_p(some[k : k + 4096]) for k in range(0, len(some), 4096)])
-        by_class = np.exp(log_p[which, part.cls].astype(np.float64)) * np.where(part.cls >= SINGLE, (n + 1) / size[part.cls], 1.0)
+        by_class = np.exp(log_p[place[part.context], part.cls].astype(np.float64)) * np.where(part.cls >= SINGLE, (n + 1) / size[part.cls], 1.0)
         return part, by_class, n, seen, of
 
     def events(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -81,6 +81,21 @@ def unpacked(packed: bytes) -> list[np.ndarray]:
     return out
 
 
+def least(a: np.ndarray) -> np.ndarray:
+    """``a`` (no negative numbers) in the narrowest unsigned type that holds it."""
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+
+
+def squeezed(packed: bytes) -> bytes:
+    return len(packed).to_bytes(8, "little") + pa.compress(packed, codec="zstd", asbytes=True)
+
+
+def restored(packed: pa.Scalar) -> list[np.ndarray]:
+    """The arrays of a squeezed blob."""
+    raw = packed.as_buffer()
+    return unpacked(pa.decompress(raw.slice(8), int.from_bytes(raw.slice(0, 8).to_pybytes(), "little"), codec="zstd", asbytes=True))
+
+
 def empty(schema: str | StructType) -> pa.Table:
     from pyspark.sql.pandas.types import to_arrow_schema
 
