@@ -240,16 +240,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     def now(rows: DataFrame) -> DataFrame:
         return rows.join(comp, "v", "left").withColumn("c", F.coalesce("c", "v"))
 
-    def apart() -> DataFrame:
-        """The buckets' rows where they hold more than one component."""
-        own = now(buckets)
-        return own.join(own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high"), "key")
-
-    own = apart()
-    second = own.where("c != low").groupBy("key").agg(F.min(F.struct("v", "c")).alias("h")).select("key", "h.v", "h.c").toDF("key", "hub", "hub_c")
-    verify(own.drop("hub").join(second, "key").where("c != hub_c").select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b")).distinct())
-
-    members = staged(apart().select("hub", "v").distinct(), "apart")
+    def apart(rows: DataFrame) -> DataFrame:
+        """The buckets' rows given, where a bucket has more than one component among them; lead: that of its first."""
+        own = now(rows)
+        return own.join(own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("c", "v").alias("lead")).where("low < high"), "key")
+
+    own = apart(buckets)
+    second = own.where("c != lead").groupBy("key").agg(F.min(F.struct("v", "c")).alias("h")).select("key", "h.v", "h.c").toDF("key", "other", "other_c")
+    second = staged(own.select("key", "hub", "v", "c").join(second, "key"), "seconds")
+    verify(second.where("c != other_c").select(F.least("other", "v").alias("a"), F.greatest("other", "v").alias("b")).distinct())
+
+    # both hubs are done with; pairs are left where the rest of a bucket is apart
+    members = staged(apart(second.where("v != hub and v != other").select("key", "hub", "v")).select("hub", "v").distinct(), "apart")
     if members.limit(1).count():
         sets = _sets(members.select(F.col("v").alias("digest")).union(members.select("hub")).distinct(), classes, docs, size)
         tokens = _residuals(members, sets, percent)
@@ -265,7 +267,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
             first = first or found
             if found * 10 <= first:
                 break  # what is left is found below
-        index = now(tokens).join(mixed, "t", "left_semi")
+        index = staged(now(tokens).join(mixed, "t", "left_semi"), "index")
         verify(_paired(index, index, percent, F.col("x.v") < F.col("y.v")), sets)
     member = classes.select(F.col("digest").alias("v"), "doc_id").join(comp, "v", "left").select("v", "doc_id", F.coalesce("c", "v").alias("c"))
     least = member.groupBy("c").agg(F.min("doc_id").alias("component_id"))

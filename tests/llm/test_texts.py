@@ -370,3 +370,16 @@ def test_repeats_against_brute_force(spark, part_bytes, many):
         text = op9_substring.remove_repeats(docs, as_text=True)
         assert text.columns == docs.columns and {r.doc_id: r.text for r in text.collect() if r.doc_id is not None}.keys() == {i for i, _ in collected(docs) if i is not None}
         assert op9_substring.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_settled_buckets_are_not_indexed(spark, monkeypatch):
+    """Residuals are indexed only where pairs are left that neither hub of a bucket is part of, and each index is made once."""
+    common = " ".join(f"s{k}" for k in range(20))
+    docs = documents(spark, rows=[(k, f"{common} " + " ".join(f"o{k}x{m}" for m in range(10))) for k in range(6)])
+    made, tables, residuals, staged = [], [], op4_neardup._residuals, op4_neardup.staged
+    monkeypatch.setattr(op4_neardup, "_residuals", lambda members, *own: made.append(members.count()) or residuals(members, *own))
+    monkeypatch.setattr(op4_neardup, "staged", lambda frame, name: tables.append(name) or staged(frame, name))
+    for n in (3, 6):
+        got = op4_neardup.near_duplicates(docs.where(F.col("doc_id") < n), size=2, bands=40, rows=1).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(k, k, True) for k in range(n)]
+        assert bool(made) == (n == 6) and tables.count("index") == (n == 6)
