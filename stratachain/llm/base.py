@@ -7,6 +7,7 @@ Python worker's memory doesn't grow with the partition it reads.
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -50,6 +51,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Spark deletes a shuffle's files once the driver's JVM has collected all that refers to it, by default every half hour; this has it done now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -107,6 +107,25 @@ def test_lm_classes_sum_to_one_and_training_helps(spark):
     assert likes[-1] > likes[0]
 
 
+def test_swept_deletes_finished_shuffles(spark):
+    import time
+
+    from stratachain.llm import base
+
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    base.swept(spark)
+    time.sleep(2)
+    for k in range(5):
+        base.staged(spark.range(1000).groupBy(F.col("id") % (k + 3)).count(), "sums")
+    before = held()
+    base.swept(spark)
+    for _ in range(20):
+        if held() < before - 2:
+            break
+        time.sleep(0.25)
+    assert held() < before - 2
+
+
 def _near(texts, size, percent):
     sets = {}
     for i, t in texts:
