@@ -37,6 +37,8 @@ from .parts import blob, empty, parted, unpacked
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a part, and parts that may share a minimizer before its windows go out one by one.
 PART, MANY = 12 << 20, 2000
+#: Bytes of a part's text that a kernel takes at once, or one longer text; what is kept of a whole part is a few bytes a byte.
+STEP = 1 << 19
 #: What a group merges at once: its segments by a second hash of their minimizers.
 SUBGROUPS = 32
 _NO = np.int64(2**63 - 1)
@@ -66,7 +68,7 @@ class _Part:
         skip[copies] = True
         start, count, hashes, rows = [], [], [], []
         none = np.uint64(2**64 - 1)
-        for i, j in slices(self.at):
+        for i, j in slices(self.at, STEP):
             x = self.data[self.at[i] : self.at[j]]
             if len(x) < length or skip[i:j].all():
                 continue
@@ -114,7 +116,7 @@ class _Part:
         self.segment = np.zeros(len(self.start), np.uint64)
         rolled = 0
         order = np.argsort(self.start, kind="stable")
-        for i, j in slices(self.at):  # hashes of the segments' bytes
+        for i, j in slices(self.at, STEP):  # hashes of the segments' bytes
             to = int(np.searchsorted(self.start[order], self.at[j], "left"))
             own = order[rolled:to]
             rolled = to
@@ -234,38 +236,38 @@ def _cut(part: _Part, low: pa.Table, copies: np.ndarray, groups: int, as_text: b
         own = order[begin[g] : begin[g + 1]][some]
         n = part.windows[own]
         value[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = v
-    n = part.count
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    gone = value[np.repeat(first[part.which], n) + step] < np.repeat(part.id[part.row], n)
-    mark = np.zeros(len(part.data) + 1, np.int32)
-    where = (np.repeat(part.start, n) + step)[gone]
-    covered = np.zeros(len(part.data), bool)
-    if len(where):
-        mark[np.unique(where)] = 1  # a window begins
-        covered = window_max(np.concatenate([np.zeros(part.length - 1, np.int32), mark[:-1]]), part.length) > 0
-    del mark
     size = np.diff(part.at)
-    for r in copies:
-        if not part.lonely[r]:
-            covered[part.at[r] : part.at[r + 1]] = True
-    at = part.at
-    total = np.concatenate([[0], np.cumsum(covered)])
-    edge = covered.copy()
-    edge[1:] &= ~covered[:-1]
-    inner = at[:-1][size > 0]
-    edge[inner] = covered[inner]
-    spans = np.concatenate([[0], np.cumsum(edge)])
-    kept = part.data[~covered]
-    removed = total[at[1:]] - total[at[:-1]]
-    place = np.concatenate([[0], np.cumsum(size - removed)])
-    rest = [kept[a:b].tobytes() for a, b in zip(place, place[1:], strict=False)]
+    whole = np.zeros(len(size), bool)
+    whole[copies] = True
+    whole &= ~part.lonely
+    removed, spans, rest = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), []
+    order = np.argsort(part.start, kind="stable")
+    place = np.searchsorted(part.start[order], part.at)  # of each row's windows in this order
+    for i, j in slices(part.at, STEP):
+        own = order[place[i] : place[j]]
+        n = part.count[own]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        gone = value[np.repeat(first[part.which[own]], n) + step] < np.repeat(part.id[part.row[own]], n)
+        at = part.at[i : j + 1] - part.at[i]
+        mark = np.zeros(at[-1] + part.length - 1, bool)
+        mark[(np.repeat(part.start[own] - part.at[i], n) + step)[gone] + part.length - 1] = True  # a window begins
+        covered = window_max(mark, part.length) | np.repeat(whole[i:j], size[i:j])
+        removed[i:j] = np.diff(np.append(0, np.cumsum(covered))[at])
+        edge = covered.copy()
+        edge[1:] &= ~covered[:-1]
+        inner = at[:-1][size[i:j] > 0]
+        edge[inner] = covered[inner]
+        spans[i:j] = np.diff(np.append(0, np.cumsum(edge))[at])
+        kept = part.data[part.at[i] : part.at[j]][~covered]
+        left = np.append(0, np.cumsum(size[i:j] - removed[i:j]))
+        rest += [kept[a:b].tobytes() for a, b in zip(left, left[1:], strict=False)]
     if as_text:
         text = [x.decode(errors="ignore") for x in rest]
         was_null = part.table.column("text").is_null().to_numpy()
         rest = pa.array(text, pa.string(), mask=was_null)
     else:
         rest = pa.array(rest, pa.binary())
-    made = {"n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(spans[at[1:]] - spans[at[:-1]]), "kept": rest}
+    made = {"n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept": rest}
     return pa.table({"__rest": part.table.column("__rest")} | made)
 
 

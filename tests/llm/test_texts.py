@@ -402,3 +402,38 @@ def test_settled_buckets_are_not_indexed(spark, monkeypatch):
         got = op4_neardup.near_duplicates(docs.where(F.col("doc_id") < n), size=2, bands=40, rows=1).collect()
         assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(k, k, True) for k in range(n)]
         assert bool(made) == (n == 6) and tables.count("index") == (n == 6)
+
+
+def _cut_alone(texts):
+    """The steps of op9 on one part, without Spark; and the bytes that the last step takes at its peak."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    table = pa.table({"__id": pa.array([i for i, _ in texts], pa.int64()), "text": [t for _, t in texts], "__rest": pa.array([{"doc_id": i} for i, _ in texts]), "__row": np.arange(len(texts))})
+    part, none = op9_substring._Part(table, 50), np.zeros(0, np.int64)
+    part.minimizers(none)
+    part.shared(op9_substring._answer(op9_substring._ask(part, 0, 1), 9), 1)
+    low = op9_substring._resolve(op9_substring._send(part, 0, 1), 50)
+    tracemalloc.start()
+    try:
+        got = op9_substring._cut(part, low, none, 1, False)
+        return got.to_pylist(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_repeats_cut_in_slices(monkeypatch):
+    """The cuts are the same however many texts are taken at once, and take a few bytes for a byte of the part's text."""
+    texts = [(i, t) for i, t in enumerate(["", None, "é" * 90, "x", "é" * 70 + "y" * 60, "y" * 60 + " z"] + [f"{k} {'w' * (k % 70)} {'passage that is told again, ' * (k % 4)}" for k in range(80)])]
+    want = sorted(_removed(texts))
+    for step in (1, 300, 1 << 20):
+        monkeypatch.setattr(op9_substring, "STEP", step, raising=False)
+        got = _cut_alone(texts)[0]
+        assert sorted((r["__rest"]["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in got) == want
+    monkeypatch.undo()
+    rng = np.random.default_rng(3)
+    own = rng.integers(97, 123, (4000, 1000)).astype(np.uint8)
+    own[::2, :60] = own[0, :60]
+    got, peak = _cut_alone([(k, x.tobytes().decode()) for k, x in enumerate(own)])
+    assert sum(r["n_removed"] for r in got) >= 1999 * 60 and peak < 8 * own.size
