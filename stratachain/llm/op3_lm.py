@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .base import LOWER, Roller, held_out, mix, slices, staged, swept, utf8, words
+from .base import LOWER, Roller, brief_shuffles, held_out, mix, slices, staged, swept, utf8, words
 from .bpe import Table
 from .op10_bpe import documents
 from .parts import blob, empty, least, parted, restored, squeezed, unpacked
@@ -428,7 +428,8 @@ def score(docs: DataFrame, keep: Column, epochs: int = EPOCHS, part_bytes: int =
     spark = docs.sparkSession
     parts = parted(docs.select("doc_id", "text", keep.alias("_train")), part_bytes)
     learn = parts.where("_train").select("text")
-    counts = staged(word_counts(learn), "words")
+    with brief_shuffles(spark):
+        counts = staged(word_counts(learn), "words")
     n_docs = learn.count()
     n_words, n_forms = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = n_words + n_docs, n_forms + (n_docs > 0)
@@ -447,7 +448,8 @@ def score(docs: DataFrame, keep: Column, epochs: int = EPOCHS, part_bytes: int =
     size = np.ones(CLASSES)
     for r in counts.select("hash", "word", "n").mapInArrow(endings, "class int, n long, forms long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("forms").alias("v")).collect():
         size[r["class"]] = r["n"] + r["v"] + 1
-    contexts = staged(_context_counts(learn, single), "contexts")
+    with brief_shuffles(spark):
+        contexts = staged(_context_counts(learn, single), "contexts")
     swept(spark)
     weights, _ = train(contexts, epochs)
 
@@ -455,8 +457,9 @@ def score(docs: DataFrame, keep: Column, epochs: int = EPOCHS, part_bytes: int =
     bits = min(64, 34 + groups.bit_length())  # of a feature's hash: the more parts, the more features
     own = parts.groupBy("__part")
     asked = own.applyInArrow(lambda key, t: _ask(Tokens(t, Table(single)), key[0].as_py(), groups, bits), "bucket int, part long, ask binary")
-    answers = staged(asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, bits), "part long, bucket int, told binary"), "answers")
-    swept(spark)  # of what the parts have asked, the most on disk
+    with brief_shuffles(spark):  # what the parts ask is the most on disk
+        answers = staged(asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, bits), "part long, bucket int, told binary"), "answers")
+    swept(spark)
     answers = answers.withColumnRenamed("part", "__part").groupBy("__part")
     shared = spark.sparkContext.broadcast((weights, size))
 
@@ -480,7 +483,8 @@ def score(docs: DataFrame, keep: Column, epochs: int = EPOCHS, part_bytes: int =
         return pa.table({"number": number, "n": n})
 
     found = own.cogroup(answers).applyInArrow(events, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
-    found = staged(found, "events")
+    with brief_shuffles(spark):
+        found = staged(found, "events")
     swept(spark)
     mixture, _ = train_mixture(found)
     kind = parts.schema["doc_id"]

@@ -126,6 +126,33 @@ def test_swept_deletes_finished_shuffles(spark):
     assert held() < before - 2
 
 
+def test_lm_tables_leave_no_shuffle_files(spark, monkeypatch):
+    """A table's shuffle files go when it is written, without a collection; the session's setting is as it was."""
+    import time
+
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    staged, more = op3_lm.staged, {}
+
+    def seen(df, name):
+        before = held()
+        out = staged(df, name)
+        for _ in range(20):
+            if held() <= before:
+                break
+            time.sleep(0.25)
+        more[name] = held() - before
+        return out
+
+    monkeypatch.setattr(op3_lm, "staged", seen)
+    monkeypatch.setattr(op3_lm, "swept", lambda spark: None)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    docs = documents(spark, 60)
+    assert op3_lm.score(docs, ~held_out("doc_id", 7, 2), epochs=1, part_bytes=2000).count() == docs.count()
+    assert more.keys() == {"words", "contexts", "answers", "events"} and max(more.values()) <= 0
+    assert spark.conf.get(key, None) == was
+
+
 def _near(texts, size, percent):
     sets = {}
     for i, t in texts:
