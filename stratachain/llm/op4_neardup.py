@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import LOWER, Roller, mix, slices, staged, utf8, words
-from .components import components
+from . import components as union_find
+from .base import LOWER, Roller, brief_shuffles, mix, slices, staged, utf8, words
+from .components import components, components_alone
 from .op10_bpe import documents
 
 BANDS, ROWS = 20, 4
@@ -201,8 +202,12 @@ def _paired(x: DataFrame, y: DataFrame, percent: int, more: Column) -> DataFrame
     return both.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
 
 
-def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (v, c) after further links: only the components that these touch are looked at."""
+def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (v, c) after further links: only the components that these touch are looked at, or, of few rows, all in one task."""
+    if links.count() + (comp.count() if comp is not None else 0) <= union_find.ALONE:
+        return components_alone(links if comp is None else comp.toDF("a", "b").union(links))
+    if comp is None:
+        return components(links)
     ends = links
     for side in ("a", "b"):
         ends = ends.join(comp.toDF(side, f"{side}_c"), side, "left").withColumn(side, F.coalesce(f"{side}_c", side)).drop(f"{side}_c")
@@ -213,6 +218,11 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): ``size`` words a shingle, links from ``percent`` % Jaccard likeness on."""
+    with brief_shuffles(docs.sparkSession):  # each table is written once, and what one has shuffled need not lie beside the next one's
+        return _grouped(docs, size, percent, bands, rows)
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
     signed = staged(signatures(docs, size, bands, rows), "signatures")
     one = signed.where("digest is not null and doc_id is not null")
     classes = staged(one.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "classes")
@@ -221,17 +231,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     buckets = staged(spread.join(hubs, "key").select("key", "hub", F.col("digest").alias("v")), "buckets")
 
     tested = staged(buckets.where("v != hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct(), "pairs")
-    links = staged(_verified(tested, _sets(_ends(tested), classes, docs, size), percent), "near")
-    comp = components(links)
+    sets = _sets(_ends(tested), classes, docs, size)  # of all that lie in buckets: whatever is compared later is among them
+    comp = _merged(None, staged(_verified(tested, sets, percent), "near"))
 
-    def verify(pairs: DataFrame, sets: DataFrame | None = None) -> int:
+    def verify(pairs: DataFrame, sets: DataFrame) -> int:
         """Joins components by what holds of ``pairs``; the number of new links."""
         nonlocal comp, tested
         pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.limit(1).count():
             return 0
         tested = tested.union(pairs)
-        found = staged(_verified(pairs, sets if sets is not None else _sets(_ends(pairs), classes, docs, size), percent), "near")
+        found = staged(_verified(pairs, sets, percent), "near")
         n = found.count()
         if n:
             comp = _merged(comp, found)
@@ -248,12 +258,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     own = apart(buckets)
     second = own.where("c != lead").groupBy("key").agg(F.min(F.struct("v", "c")).alias("h")).select("key", "h.v", "h.c").toDF("key", "other", "other_c")
     second = staged(own.select("key", "hub", "v", "c").join(second, "key"), "seconds")
-    verify(second.where("c != other_c").select(F.least("other", "v").alias("a"), F.greatest("other", "v").alias("b")).distinct())
+    verify(second.where("c != other_c").select(F.least("other", "v").alias("a"), F.greatest("other", "v").alias("b")).distinct(), sets)
 
     # both hubs are done with; pairs are left where the rest of a bucket is apart
     members = staged(apart(second.where("v != hub and v != other").select("key", "hub", "v")).select("hub", "v").distinct(), "apart")
     if members.limit(1).count():
-        sets = _sets(members.select(F.col("v").alias("digest")).union(members.select("hub")).distinct(), classes, docs, size)
+        sets = staged(sets.join(members.select(F.col("v").alias("digest")).union(members.select("hub")).distinct(), "digest", "left_semi"), "sets")
         tokens = _residuals(members, sets, percent)
         first = 0
         for turn in count():

@@ -464,3 +464,52 @@ def test_repeats_cut_in_slices(monkeypatch):
     own[::2, :60] = own[0, :60]
     got, peak = _cut_alone([(k, x.tobytes().decode()) for k, x in enumerate(own)])
     assert sum(r["n_removed"] for r in got) >= 1999 * 60 and peak < 8 * own.size
+
+
+def test_few_links_are_joined_in_one_task(spark, monkeypatch):
+    """Few links take one table a merge, and shingles are made once; dealt out, the same components come of it."""
+    from stratachain.llm import components as union_find
+
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"f{k % 3}w{m}" if rng.random() > 0.002 * (k % 40) else f"x{rng.integers(0, 4)}" for m in range(60))) for k in range(90)]
+    docs, want = documents(spark, rows=rows), _near(rows, 2, 80)
+    tables, shingled, staged, sets = [], [], op4_neardup.staged, op4_neardup.shingle_sets
+    seen = lambda frame, name: tables.append(name) or staged(frame, name)
+    for module in (op4_neardup, union_find):
+        monkeypatch.setattr(module, "staged", seen)
+    monkeypatch.setattr(op4_neardup, "shingle_sets", lambda *own: shingled.append(1) or sets(*own))
+    for alone in (union_find.ALONE if hasattr(union_find, "ALONE") else 0, 0):
+        monkeypatch.setattr(union_find, "ALONE", alone, raising=False)
+        tables.clear(), shingled.clear()
+        got = op4_neardup.near_duplicates(docs, size=2, bands=60, rows=2).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len({c for _, c in want.values()}) > 3
+        assert len(shingled) == 1 and tables.count("near") > 1
+        assert (tables.count("labels") == tables.count("near")) == (alone > 0)
+
+
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_components_alone_and_dealt_out(spark, kind):
+    from stratachain.llm.components import components, components_alone
+
+    rng = np.random.default_rng(6)
+    links = [(int(a), int(b)) for a, b in rng.integers(-80, 80, (70, 2))] + [(k, k + 1) for k in range(200, 260)] + [(300, 300)]
+    if kind == "binary":
+        links = [tuple(bytearray((x + 90).to_bytes(2, "big")) for x in pair) for pair in links]
+    frame = spark.createDataFrame(links, f"a {kind}, b {kind}")
+    one, two = (sorted((r.v, r.c) for r in f(frame).collect()) for f in (components_alone, components))
+    assert one == two and len(one) > len({c for _, c in one})
+    assert components_alone(frame.limit(0)).count() == 0
+
+
+def test_near_duplicates_shuffles_are_brief(spark, monkeypatch):
+    """While tables are written, what one has shuffled goes as soon as it is written; afterwards the setting is as before."""
+    from stratachain.llm import components as union_find
+
+    key, told, staged = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], op4_neardup.staged
+    seen = lambda frame, name: told.append(spark.conf.get(key, None)) or staged(frame, name)
+    for module in (op4_neardup, union_find):
+        monkeypatch.setattr(module, "staged", seen)
+    before = spark.conf.get(key, None)
+    rows = [(k, " ".join(f"a{m}" if m != k else "z" for m in range(40))) for k in range(4)]
+    assert {r.component_id for r in op4_neardup.near_duplicates(documents(spark, rows=rows), size=2).collect()} == {0}
+    assert len(told) > 5 and set(told) == {"true"} and spark.conf.get(key, None) == before
