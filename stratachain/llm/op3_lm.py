@@ -269,34 +269,37 @@ class Tokens:
         out[self.first] = start
         return out
 
-    def features(self, bits: int) -> list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    def features(self, bits: int, counted: bool = True) -> list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
         """Words (and the start as one), pairs, skips and triples: the distinct ones in order, how often training has each here, and
-        each token's. Words count twice: by themselves, and as what stands two before a token."""
+        each token's. Words count twice: by themselves, and as what stands two before a token. Not ``counted``: no counts."""
         key, which = _grouped(np.append(self.h, _START), 64)
         start, which = which[-1], which[:-1]
         two = self.before(self.before(which, start), start)
-        n = np.bincount(which, self.train, len(key))
-        n[start] = self.train[self.first].sum()
-        out = [(key, [n, np.bincount(two, self.train, len(key))], [which, self.before(which, start), two])]
+        counts = [np.bincount(x, self.train, len(key)) for x in (which, two)] if counted else []
+        if counted:
+            counts[0][start] = self.train[self.first].sum()
+        out = [(key, counts, [which, self.before(which, start), two])]
         one = self.before(self.h, _START)
         a, b, c = (mix(np.array([k], np.uint64))[0] | np.uint64(1) for k in (11, 12, 13))
         pair, skip = self.h * a + one * b, self.h * a + self.before(one, _START) * c
         for k, x in enumerate((pair, skip, pair + skip)):
             key, which = _grouped(mix(x + np.uint64(k)) >> np.uint64(64 - bits), bits)
-            out.append((key, [np.bincount(which, self.train, len(key))], [which]))
+            out.append((key, [np.bincount(which, self.train, len(key))] if counted else [], [which]))
         return out
 
 
 def _grouped(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values of keys of so many bits, in order, and the number of each key's. Where key and place fit 64 bits, these are sorted as one."""
+    """The distinct values of keys of so many bits, in order, and the number of each key's. Where key and place fit 64 bits, these are sorted as one; else only distinct keys are sorted."""
     n = len(key)
     own = n.bit_length()
-    if bits + own <= 64:
-        s = np.sort(key << np.uint64(own) | np.arange(n, dtype=np.uint64))
-        order, s = (s & np.uint64((1 << own) - 1)).astype(np.int64), s >> np.uint64(own)
-    else:
+    if bits + own > 64:
+        code, key = pd.factorize(key)
         order = np.argsort(key)
-        s = key[order]
+        place = np.empty(len(key), np.int32)
+        place[order] = np.arange(len(key), dtype=np.int32)
+        return key[order], place[code]
+    s = np.sort(key << np.uint64(own) | np.arange(n, dtype=np.uint64))
+    order, s = (s & np.uint64((1 << own) - 1)).astype(np.int64), s >> np.uint64(own)
     head = np.ones(n, bool)
     head[1:] = s[1:] != s[:-1]
     which = np.empty(n, np.int32)
@@ -342,7 +345,7 @@ def _known(part: Tokens, told: pa.Table, bits: int) -> tuple[np.ndarray, np.ndar
     """Counts of each token's word; of its bigram, skip and trigram; and of their contexts."""
     answers = [restored(x) for x in told.sort_by("bucket").column("told")]
     total = [np.concatenate([np.zeros(0), *(x[k] for x in answers)]) for k in range(5)]
-    (_, _, (word, one, two)), *rest = part.features(bits)
+    (_, _, (word, one, two)), *rest = part.features(bits, counted=False)
     pair, skip, triple = (t[which] for t, (_, _, (which,)) in zip(total[2:], rest, strict=True))
     start = total[0][one[part.first]] if len(one) else 0  # texts begin as often as a pair does that holds two starts
     return total[0][word], np.stack([pair, skip, triple]), np.stack([total[0][one], total[1][two], part.before(pair, start)])
@@ -350,7 +353,7 @@ def _known(part: Tokens, told: pa.Table, bits: int) -> tuple[np.ndarray, np.ndar
 
 def _level(n: np.ndarray) -> np.ndarray:
     """How often a context was seen: 0 to 3 times, and a level more for each doubling from 4 on."""
-    return np.where(n < 4, n, np.floor(np.log2(np.maximum(n, 1))) + 2).astype(np.int64)
+    return np.where(n < 4, n, np.frexp(n)[1] + 1).astype(np.int64)
 
 
 def _shares(mixture: np.ndarray, level: np.ndarray) -> np.ndarray:

@@ -513,3 +513,25 @@ def test_near_duplicates_shuffles_are_brief(spark, monkeypatch):
     rows = [(k, " ".join(f"a{m}" if m != k else "z" for m in range(40))) for k in range(4)]
     assert {r.component_id for r in op4_neardup.near_duplicates(documents(spark, rows=rows), size=2).collect()} == {0}
     assert len(told) > 5 and set(told) == {"true"} and spark.conf.get(key, None) == before
+
+
+def test_lm_sorts_distinct_words_only(monkeypatch):
+    """Keys of 64 bits, many of them equal, are numbered in order, and only the distinct ones are sorted; asked again, features aren't counted again."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    key = rng.integers(0, 2**64, 40, np.uint64)[rng.integers(0, 40, 3000)]
+    sorts, argsort, bincount = [], np.argsort, np.bincount
+    monkeypatch.setattr(np, "argsort", lambda x, *own, **more: sorts.append(len(x)) or argsort(x, *own, **more))
+    for keys in (key, key[:0]):
+        for got, want in zip(op3_lm._grouped(keys, 64), np.unique(keys, return_inverse=True), strict=True):
+            assert (got == want).all()
+    assert max(sorts) <= 40
+    table = pa.table({"doc_id": [1, 2], "text": ["a b a", "b c"], "_train": [True, False], "__row": [0, 1]})
+    part = op3_lm.Tokens(table, op3_lm.Table(np.zeros(0, np.uint64)))
+    told = op3_lm._answer(op3_lm._ask(part, 0, 1, 35), 35)
+    weighed = []
+    monkeypatch.setattr(np, "bincount", lambda x, *own: weighed.append(len(x)) or bincount(x, *own))
+    word, seen, of = op3_lm._known(part, told, 35)
+    assert not weighed and word.tolist() == [2, 1, 2, 1, 1, 0, 1] and (seen <= of).all()
+    assert (op3_lm._level(np.array([0.0, 3, 4, 7, 8, 2.0**40])) == [0, 3, 4, 4, 5, 42]).all()
