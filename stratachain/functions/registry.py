@@ -60,7 +60,8 @@ _add("where", "elementwise", 1, 1, ("true_label", "false_label"), "labels by a c
 _add("onlyif", "elementwise", 2, 2, (), "x where a condition is true, else missing")
 _add("abs log2 log10 exp sqrt ismissing", "elementwise", doc="of each value")
 _add("log", "elementwise", 1, 2, (), "log(x), log(base, x)")
-_add("round floor ceil", "elementwise", 1, 1, ("digits", "sigdigits", "base"), "of each value")
+_add("round", "elementwise", 1, 1, ("digits", "sigdigits", "base", "ties"), "of each value; ties go to the even digit, with ties = :away from zero")
+_add("floor ceil", "elementwise", 1, 1, ("digits", "sigdigits", "base"), "of each value")
 _add("min max coalesce", "elementwise", 1, None, (), "of the arguments, row by row")
 _add("yyyy yyyyq yyq", "elementwise", doc="date bucket")
 _add("yyyymm yymm", "elementwise", 1, 2, (), "date bucket, with a delimiter")

@@ -752,6 +752,10 @@ class Lowerer:
         if name in ("round", "floor", "ceil"):
             a, kind = self.number(a)
             digits, base, f = kw.get("digits", 0), kw.get("base", 10), {"round": F.rint, "floor": F.floor, "ceil": F.ceil}[name]
+            if (ties := kw.get("ties", "even")) not in ("even", "away"):
+                raise SpecError(f"{name}: ties is :even or :away", "invalid_spec", name)
+            if ties == "away":
+                f = F.round
             if "sigdigits" in kw:
                 if "digits" in kw:
                     raise SpecError(f"{name}: digits and sigdigits are mutually exclusive", "invalid_spec", name)
@@ -764,7 +768,7 @@ class Lowerer:
             if base != 10:
                 return self.rounded(f, a, F.lit(digits), base).cast("double")
             if name == "round":
-                return F.rint(a) if digits == 0 else F.bround(a, digits)
+                return f(a) if digits == 0 else (F.round if ties == "away" else F.bround)(a, digits)
             f = F.floor if name == "floor" else F.ceil
             return f(a).cast("double") if digits == 0 else f(a * 10.0**digits).cast("double") / 10.0**digits
         if name in ("min", "max"):

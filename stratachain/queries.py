@@ -352,7 +352,7 @@ simple("dim_discretize_moving_buckets", "customer", "c_custkey c_nationkey c_acc
        "SELECT c_custkey, CASE WHEN c_acctbal < quantile_cont(c_acctbal, 0.5) OVER (PARTITION BY c_nationkey) THEN 'low' ELSE 'high' END AS d FROM customer")
 simple("dim_integer_power", "nation", "n_nationkey n_regionkey", ["n_regionkey", ("p", "n_nationkey^11 + cumprod(n_nationkey + 1) |> orderby(n_nationkey)")], "n_nationkey p",
        "SELECT n_nationkey, (CAST(n_nationkey AS HUGEINT) ** 11)::BIGINT + product(n_nationkey + 1) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING)::BIGINT AS p FROM nation")
-simple("dim_sigdigits", "orders", "o_orderkey o_totalprice", ("r", "round(o_totalprice, sigdigits = 3)"), "o_orderkey r",
+simple("dim_sigdigits", "orders", "o_orderkey o_totalprice", ("r", "round(o_totalprice, sigdigits = 3, ties = :away)"), "o_orderkey r",
        "SELECT o_orderkey, round(o_totalprice / pow(10, floor(log10(o_totalprice)) - 2)) * pow(10, floor(log10(o_totalprice)) - 2) AS r FROM orders")
 
 

@@ -148,3 +148,27 @@ def test_describe(frame):
     got = describe(frame, "x").first()
     assert (got.type, got["rows"], got.missing, got.distinct, got.minimum, got.maximum, got.mean, got.quartiles) == ("bigint", 6, 1, 5, 2, 11, 5.6, [3, 5, 7])
     assert describe(frame, "k").first().distinct == 2 and "mean" not in describe(frame, "k").columns
+
+
+def test_ties_are_rounded_to_even_or_away(spark, tmp_path):
+    df = spark.createDataFrame([(198500.0,), (-198500.0,), (9725.0,), (65450.5,), (2.5,), (None,)], "x double").coalesce(1)
+    got = lambda options: [r.r for r in dim(df, ("r", f"round(x, {options})")).collect()]
+    assert got("sigdigits = 3") == got("sigdigits = 3, ties = :even") == [198000.0, -198000.0, 9720.0, 65500.0, 2.5, None]
+    assert got("sigdigits = 3, ties = :away") == [199000.0, -199000.0, 9730.0, 65500.0, 2.5, None]
+    assert got("digits = 0, ties = :away")[4] == 3.0 and got("digits = 0")[4] == 2.0
+    with pytest.raises(SpecError, match="ties"):
+        dim(df, ("r", "round(x, ties = :up)"))
+    with pytest.raises(SpecError, match="ties"):
+        dim(df, ("r", "floor(x, ties = :away)"))
+
+
+def test_query_of_significant_digits_rounds_ties_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from stratachain.queries import ORACLE_SQL, QUERIES
+
+    path = f"{tmp_path}/orders.parquet"
+    spark.createDataFrame([(1, 198500.0), (2, 65450.0), (3, 9725.0), (4, 1234.5)], "o_orderkey long, o_totalprice double").write.parquet(path)
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{path}/*.parquet')")
+        assert sorted(map(tuple, QUERIES["dim_sigdigits"](spark, str(tmp_path)).collect())) == sorted(db.sql(ORACLE_SQL["dim_sigdigits"]).fetchall())
