@@ -8,10 +8,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import SpecError
+from ..functions import registry
 from ..plans.lower import Lowerer, Plain, c, needs_rows, temp
-from ..plans.nodes import Col, Node, columns
+from ..plans.nodes import Call, Col, Node, columns, walk
 from ..plans.specs import AggrSpec, DimSpec, HostSpec, check_cols, dimspec, parse_dim, trusted
 from .hints import AggrHints, as_spec, hints
 
@@ -68,6 +70,20 @@ def _sensitive(spec) -> bool:
     return needs_rows(spec.body, *(by or ()))
 
 
+def _stable(d: Dimension, plain: Plain, df: DataFrame, h: AggrHints) -> bool:
+    """Whether each reading of the chain's frame gives the dimension the same values: it depends on no order of rows and on nothing of the host's."""
+    if not isinstance(d.spec, DimSpec) or _sensitive(d.spec) or d.spec.order:
+        return False
+    nodes = [d.spec.body, *(d.spec.by or ())]
+    if d.spec.kind == "pivot":
+        read = [_hinted(df, h, n) for n in columns(d.spec.body)]
+        if any(not isinstance(s, AggrSpec) or needs_rows(s.body) for s in read):
+            return False
+        nodes += [s.body for s in read]
+    own = all(registry.op(n.name).host is None for x in nodes for n in walk(x) if isinstance(n, Call))
+    return own and plain.stable.issuperset([*d.left, *columns(*nodes)])
+
+
 def _hinted(df: DataFrame, h: AggrHints, name: str):
     return h.resolve(name, df.schema[name].dataType)
 
@@ -174,8 +190,14 @@ def _apply(df: DataFrame, dims: Sequence[Dimension], h: AggrHints, replace: bool
             for n in [k.column for k in d.spec.order] + columns(*(d.spec.by or ())):
                 if n not in have:
                     raise SpecError(f"dimension '{d.name}' references column '{n}', which isn't there", "unknown_column", n)
-        df = _pivot(df, d, h, row) if d.spec.kind == "pivot" else _window(df, d, row, plain)
-        plain.names.discard(d.name)
+        stable = _stable(d, plain, df, h)
+        if d.spec.kind == "pivot":
+            df = _pivot(df, d, h, row)
+            plain.reads *= 2
+        else:
+            df = _window(df, d, row, plain)
+        stable = stable and not isinstance(df.schema[d.name].dataType, (T.FloatType, T.DoubleType, T.DecimalType))
+        plain.put(d.name, stable, stable and isinstance(d.spec.body, Call) and d.spec.body.name in ("topnames", "quantiles"))
         if d.name not in order:
             order.append(d.name)
         df = df.select(*map(c, order))

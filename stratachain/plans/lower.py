@@ -2,8 +2,9 @@
 
 A spec is lowered against a frame, the columns that partition it (the left context, or the keys of an aggregation) and an order.
 Reductions of the frame's own columns become aggregates of a ``groupBy`` by the partition, combined map-side, and joined back null-safe;
-the aggregation reads the frame that the verb was given, so a chain's plan grows with its length only. Reductions of what a chain has
-computed are aggregates over windows. Those over the whole frame are one row, broadcast. In an aggregation the outermost ones become
+the aggregation reads the frame that the verb was given, so a chain's plan grows with its length only. In a context that the chain has
+computed they read the chain's frame a second time, within a bound, and quantiles are selected by counting, so that no task holds a context's rows.
+Other reductions of what a chain has computed are aggregates over windows. Those over the whole frame are one row, broadcast. In an aggregation the outermost ones become
 aggregates of its own ``groupBy``. A reduction of nested groups is two aggregations, by partition and groups and then by partition.
 """
 
@@ -28,6 +29,8 @@ from .parser import OrderKey
 _numbers = count()
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 INF, NAN = float("inf"), float("nan")
+#: How often a chain's frame may read the verb's.
+READS = 24
 #: Operators whose result depends on the order of rows.
 ORDERED = {"cumsum", "cumprod", "lag", "lead", "first", "last", "ordinalrank"}
 
@@ -79,6 +82,23 @@ class Windowed:
         return a.over(self.window)
 
 
+class Keyed:
+    """Makes aggregates values that are joined to the partition's rows later. ``computed``: they read the frame of the chain."""
+
+    def __init__(self, low: Lowerer, env: Env, computed: bool):
+        self.low, self.env, self.computed = low, env, computed
+
+    def __call__(self, a: Column) -> Column:
+        name = temp("g")
+        self.low.pending.setdefault((self.computed, *map(str, self.env.parts)), (self.env.parts, []))[1].append((name, a))
+        return c(name)
+
+    def selected(self, y: Column, ps: Sequence[float]) -> Column:
+        name = temp("g")
+        self.low.selections.append((self.env.parts, y, tuple(ps), name))
+        return c(name)
+
+
 @dataclass(frozen=True)
 class Val:
     """Lowered values. ``flag``: the rows that stand for one value each of a collection, in ``order``; ``skip``: missing ones are dropped;
@@ -96,10 +116,19 @@ class Val:
 
 
 class Plain:
-    """A frame as a verb was given it, and the names of its columns that still mean the same."""
+    """A frame as a verb was given it, and the names of its columns that still mean the same. ``stable``: columns that are the same in
+    each reading of the chain's frame and no real numbers, which as keys make small contexts; ``few``: those of them with few values;
+    ``reads``: how often the chain's frame reads the verb's."""
 
     def __init__(self, df: DataFrame):
         self.df, self.names = df, set(df.columns)
+        self.stable, self.few, self.reads = set(df.columns), set(), 1
+
+    def put(self, name: str, stable: bool, few: bool) -> None:
+        """The chain has computed column ``name``."""
+        self.names.discard(name)
+        for names, on in ((self.stable, stable), (self.few, stable and few)):
+            (names.add if on else names.discard)(name)
 
 
 @dataclass(frozen=True)
@@ -112,10 +141,12 @@ class Env:
 class Lowerer:
     def __init__(self, df: DataFrame, keys: Sequence[str], target: str | None = None, order: Sequence[OrderKey] = (), row: str | None = None, known: dict[Node, str] | None = None, plain: Plain | None = None):
         self.df, self.target, self.row, self.plain = df, target, row, plain
+        self.start, self.start_reads = df, plain.reads if plain else 1
         self.keys = tuple(keys)
         self.env = Env(tuple(c(k) for k in keys), tuple(order))
         self.known = known or {}
         self.pending: dict[Any, tuple[tuple[Column, ...], list[tuple[str, Column]]]] = {}
+        self.selections: list[tuple[tuple[Column, ...], Column, tuple[float, ...], str]] = []  # quantiles to be selected
         self.groups: dict[tuple, Any] = {}  # nested groupings that are staged already
         self.nested: dict[tuple, tuple[Env, tuple[Node, ...], list[tuple[str, Call]]]] = {}  # reductions of nested groups by grouping
 
@@ -130,11 +161,17 @@ class Lowerer:
     def flush(self) -> None:
         """Compute pending aggregates, in one pass for each partitioning, and give each row those of its partition."""
         base, waiting, self.pending = self.df, self.pending, {}
-        for parts, aggs in waiting.values():
+        for (computed, *_), (parts, aggs) in waiting.items():
             names = [temp("j") for _ in parts]
             cols = [col.alias(name) for name, col in aggs]
-            frame = self.plain.df if parts else base
-            self.attach(parts, names, frame.groupBy(*(p.alias(n) for p, n in zip(parts, names, strict=True))).agg(*cols))
+            frame = self.start if computed else self.plain.df if parts else base
+            self.attach(parts, names, self.small(computed, frame.groupBy(*(p.alias(n) for p, n in zip(parts, names, strict=True))).agg(*cols)))
+            self.read(self.start_reads if computed else 1)
+        selections, self.selections = self.selections, []
+        for parts, y, ps, name in selections:
+            names = [temp("j") for _ in parts]
+            self.attach(parts, names, self.small(True, self.select_quantiles(parts, names, y, ps, name)))
+            self.read(3 * self.start_reads)
         grouped, self.nested = self.nested, {}
         for (target, _), (env, keys, found) in grouped.items():
             self.reduce_groups(target, env, keys, found)
@@ -147,23 +184,84 @@ class Lowerer:
         on = reduce(lambda a, b: a & b, [*(p.eqNullSafe(c(n)) for p, n in zip(parts, names, strict=True)), *more])
         self.df = self.df.join(values, on, "left").drop(*names)
 
+    def read(self, more: int) -> None:
+        if self.plain is not None:
+            self.plain.reads += more
+
+    def small(self, computed: bool, values: DataFrame) -> DataFrame:
+        """Values by context; broadcast where all keys are labels of a few classes."""
+        return F.broadcast(values) if computed and self.plain.few.issuperset(self.keys) else values
+
+    def select_quantiles(self, parts: Sequence[Column], names: Sequence[str], y: Column, ps: Sequence[float], out: str) -> DataFrame:
+        """Quantiles of the partitions as ``percentile`` has them, found by counting: values are counted by classes of their logarithm, those of
+        the classes that hold a wanted rank by equal steps between the class's bounds, and only those of the steps that hold one by value."""
+        b, n, lo, hi, before, total = (temp(w) for w in ("b", "n", "lo", "hi", "before", "total"))
+        x, step, count, value = temp("x"), temp("s"), temp("n"), temp("v")
+        rows = self.start.select(*(p.alias(k) for p, k in zip(parts, names, strict=True)), y.cast("double").alias(x)).where(c(x).isNotNull())
+        size = F.floor(64 * F.log2(F.abs(c(x)))).cast("long") + 100_000
+        wide = F.when(c(x) == 0, F.lit(0)).when(F.isnan(c(x)), F.lit(1_000_000)).when(c(x) == INF, F.lit(900_000)).when(c(x) == -INF, F.lit(-900_000)).when(c(x) > 0, size).otherwise(-size)
+        rows = rows.withColumn(b, wide.cast("long"))
+        at = [(F.lit(float(p)) * (c(total) - 1)).cast("double") for p in ps]
+        ranks = [r for a in at for r in (F.floor(a) + 1, F.ceil(a) + 1)]
+
+        def placed(counts: DataFrame, by: Sequence[str], key: str, much: str, *given: Column) -> DataFrame:
+            """Rows up to each key's own, and whether a wanted rank lies in it."""
+            run = F.sum(c(much)).over(Window.partitionBy(*map(c, by)).orderBy(c(key)).rowsBetween(Window.unboundedPreceding, 0))
+            more = [] if given else [F.sum(c(much)).over(Window.partitionBy(*map(c, by))).alias(total)]
+            end = temp("end")
+            found = counts.select("*", *more, (run + (given[0] if given else 0)).alias(end))
+            held = reduce(lambda a, b: a | b, ((r > c(end) - c(much)) & (r <= c(end)) for r in ranks))
+            return found.where(held).withColumn(before if not given else before + "_", c(end) - c(much)).drop(end, much)
+
+        def joined(frame: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+            other = {k: temp("j") for k in keys}
+            found = self.small(True, found.withColumnsRenamed(other))
+            return frame.join(found, reduce(lambda a, b: a & b, (c(k).eqNullSafe(c(o)) for k, o in other.items()))).drop(*other.values())
+
+        keys = [*names, b]
+        wanted = placed(rows.groupBy(*map(c, keys)).agg(F.count(F.lit(1)).alias(n), F.min(c(x)).alias(lo), F.max(c(x)).alias(hi)), names, b, n)
+        near = joined(rows, wanted, keys)
+        share = F.when(c(hi) > c(lo), F.floor((c(x) - c(lo)) / (c(hi) - c(lo)) * 262_144).cast("long")).otherwise(F.lit(0).cast("long"))
+        near = near.withColumn(step, share)
+        steps = near.groupBy(*map(c, keys), c(step)).agg(F.count(F.lit(1)).alias(count), F.first(c(total)).alias(total), F.first(c(before)).alias(before))
+        fine = placed(steps, keys, step, count, c(before)).select(*map(c, keys), c(step), c(before + "_").alias(value))
+        last = joined(near, fine, [*keys, step]).groupBy(*map(c, keys), c(step), c(x)).agg(F.count(F.lit(1)).alias(count), F.first(c(total)).alias(total), F.first(c(value)).alias(value))
+        run = F.sum(c(count)).over(Window.partitionBy(*map(c, keys), c(step)).orderBy(c(x)).rowsBetween(Window.unboundedPreceding, 0))
+        end = temp("end")
+        last = last.withColumn(end, c(value) + run)
+        ends = [F.max(F.when((r > c(end) - c(count)) & (r <= c(end)), c(x))) for r in ranks]
+        tops = [temp("q") for _ in ends]
+        found = last.groupBy(*map(c, names)).agg(*(e.alias(q) for e, q in zip(ends, tops, strict=True)), F.first(c(total)).alias(total))
+        between = [F.when(c(q) == c(r), c(q)).otherwise((F.ceil(a) - a) * c(q) + (a - F.floor(a)) * c(r)) for a, q, r in zip(at, tops[::2], tops[1::2], strict=True)]
+        return found.select(*map(c, names), F.array(*between).alias(out))
+
+    def quantiles_of(self, over: Callable[[Column], Column], y: Column, ps: Sequence[float]) -> Column:
+        """An array of quantiles."""
+        return over.selected(y, ps) if isinstance(over, Keyed) and over.computed else over(F.percentile(y, F.array(*map(F.lit, ps))))
+
     def dtype(self, col: Column) -> T.DataType:
         self.flush()
         return self.df.select(col.alias("x")).schema[0].dataType
 
-    def over(self, env: Env, plain: bool = False) -> Callable[[Column], Column]:
-        """How an aggregate Column becomes a value here; ``plain``: it reads nothing but columns of the verb's frame."""
+    def over(self, env: Env, plain: bool = False, stable: bool = False) -> Callable[[Column], Column]:
+        """How an aggregate Column becomes a value here; ``plain``: it reads nothing but columns of the verb's frame; ``stable``: nothing
+        but columns of the chain's that are the same in each reading."""
         if env.final:
             return lambda a: a
-        if env.parts and not plain:
+        if env.parts and not plain and not stable:
             return Windowed(env.parts)
+        return Keyed(self, env, bool(env.parts) and not plain)
 
-        def later(a: Column) -> Column:
-            name = temp("g")
-            self.pending.setdefault(tuple(map(str, env.parts)), (env.parts, []))[1].append((name, a))
-            return c(name)
-
-        return later
+    def reads_stable(self, env: Env, *nodes: Node, times: int = 1) -> bool:
+        """Whether the context is computed and may be read again: it and the nodes are made of stable columns, and the plan stays within a bound."""
+        if self.plain is None or self.row is not None or self.plain.names.issuperset(self.keys) or self.plain.reads + times * self.start_reads > READS:
+            return False
+        names = self.plain.names
+        self.plain.names = self.plain.stable
+        try:
+            return self.reads_plain(env, *nodes)
+        finally:
+            self.plain.names = names
 
     def reads_plain(self, env: Env, *nodes: Node) -> bool:
         """Whether nodes, partition and order are made of columns of the verb's frame, without other reductions."""
@@ -314,7 +412,7 @@ class Lowerer:
         if (made := self.two_phase(node, env)) is not None:
             return Val(made, window=not env.final)
         v = self.settled(self.value(node.args[0], inner), env) if node.args else Val(F.lit(1))
-        over = self.over(env, self.reads_plain(env, *node.args) and not (node.name in ("first", "last") and (env.order or self.row and self.row not in self.plain.names)))
+        over = self.over(env, self.reads_plain(env, *node.args) and not (node.name in ("first", "last") and (env.order or self.row and self.row not in self.plain.names)), node.name not in ("first", "last") and self.reads_stable(env, *node.args, times=4 if node.name in ("median", "quantile") else 1))
         rest = [self.constant(a) for a in node.args[1:]]
         col = getattr(self, "r_" + node.name)(v, over, env, *rest, **kw)
         return Val(col, window=not env.final)
@@ -350,6 +448,8 @@ class Lowerer:
 
     def r_median(self, v, over, env):
         v = replace(v, col=self.number(v.col)[0])
+        if isinstance(over, Keyed) and over.computed:
+            return self.np(v, lambda a: a if a is middle else over(a), middle := over.selected(v.masked, [0.5])[0])
         return self.np(v, over, F.median(v.masked))
 
     def spread(self, v, over, agg):
@@ -365,6 +465,10 @@ class Lowerer:
 
     def r_quantile(self, v, over, env, p):
         v = replace(v, col=self.number(v.col)[0])
+        if isinstance(over, Keyed) and over.computed:
+            found = over.selected(v.masked, [float(x) for x in p] if isinstance(p, list) else [float(p)])
+            found = found if isinstance(p, list) else found[0]
+            return self.np(v, lambda a: a if a is found else over(a), found)
         q = F.array(*map(F.lit, map(float, p))) if isinstance(p, list) else F.lit(float(p))
         return self.np(v, over, F.percentile(v.masked, q))
 
@@ -478,6 +582,7 @@ class Lowerer:
             return self.topnames(node, env, **kw)
         v = self.settled(self.value(node.args[0], env), replace(env, parts=env.parts or (F.lit(0),), final=False))
         self.reading_plain = self.reads_plain(env, node.args[0])
+        self.reading_stable = self.reads_stable(env, node.args[0], times=3)
         if name in ("discretize", "quantiles"):
             breaks = node.args[1] if len(node.args) > 1 else None
             col = getattr(self, name)(v, breaks, env, **kw)
@@ -565,11 +670,11 @@ class Lowerer:
 
     def _by_quantiles(self, v: Val, x: Column, inner: list[float], names: list[str], leftequal: bool, env: Env, plain: bool) -> Column:
         parts = env.parts if v.flag is None else (*env.parts, v.flag)
-        over = self.over(replace(env, final=False, parts=parts), plain and v.flag is None)
+        over = self.over(replace(env, final=False, parts=parts), plain and v.flag is None, self.reading_stable and v.flag is None)
         y = x.cast("double")
         if not parts:
             y = self.stage(y)
-        thresholds = over(F.percentile(y, F.array(*map(F.lit, inner))))
+        thresholds = self.quantiles_of(over, y, inner)
         return F.when(x.isNotNull(), F.element_at(F.array(*map(F.lit, names)), self._bucket(y, thresholds, leftequal)))
 
     def _by_moving(self, x: Column, items, env: Env, boundedness: str, bucketstrs, look: dict[str, Any]) -> Column:

@@ -205,3 +205,39 @@ def test_pivot_uses_hints(spark):
     out = dim(df, ("x", "rank(EnrlTot) |> groupby(County)"), hints=hints({"EnrlTot": "maximum"}))
     assert values(out) == [2, 2, 2, 2, 1, 1]
     assert parse_dim("rank(EnrlTot) |> groupby(County)").kind == "pivot"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_computed_contexts_have_no_task_of_their_own(spark):
+    import re
+
+    odd = {"a": [1.0, 2.0, 3.0, 4.0], "b": [math.nan, math.inf, -math.inf, 0.0, -0.0, None, 5.5], "c": [None, None], "d": [7.0] * 9 + [8.0], None: [(-1) ** k * 10.0 ** (5 * k % 600 - 300) for k in range(120)]}
+    odd |= {"e": [1e6 + k % 97 * 1e-9 for k in range(300)] + [1e6 + 900.0], "f": [5e-324, 1e-323, 1.7976931348623157e308], "g": [math.nan] * 3, "h": [float(k * k % 11) for k in range(200)]}
+    rows = [(g, v) for g, values in odd.items() for v in values]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, g string, x double").repartition(3).cache()
+    key = ("t", 'coalesce(g, "none")')
+    levels = "[.1, .5, .99]"
+    got = dim(df, [key, ("h", f"quantiles(x, {levels})")])
+    plain = dim(df.withColumn("t", F.coalesce("g", F.lit("none"))), ["t", ("h", f"quantiles(x, {levels})")])
+    assert "percentile" not in plan(got) and "percentile" in plan(plain)
+    assert {r.i: r.h for r in got.collect()} == {r.i: r.h for r in plain.collect()}
+    own = dim(df, [key, ("q", f"quantile(skipmissing(x), {levels})")]).select("t", "q").distinct()
+    want = df.groupBy(F.coalesce("g", F.lit("none")).alias("t")).agg(F.percentile("x", F.array(*map(F.lit, (0.1, 0.5, 0.99)))).alias("q"))
+    text = lambda frame: {r.t: repr(r.q).replace("-0.0", "0.0") for r in frame.collect()}
+    assert text(own) == text(want) and own.count() == len(odd)
+    middle = dim(df, [key, ("m", "median(skipmissing(x))")]).where("t = 'a' or t = 'd'").select("t", "m").distinct()
+    assert {r.t: r.m for r in middle.collect()} == {"a": 2.5, "d": 7.0}
+    whole = dim(df, [key, ("s", "length(x) + maximum(skipmissing(x))")])
+    assert "Window" not in plan(whole) and {r.s for r in whole.where("t = 'a'").collect()} == {8.0}
+    chain = plan(dim(df, [("t", "topnames(g, i, 2)"), ("h", "quantiles(x, [.5])"), ("s", "sum(skipmissing(x))")]))
+    assert "percentile" not in chain and not re.search(r"Window \[(sum|count)\(x", chain)
+
+
+def test_contexts_that_depend_on_the_order_of_rows_stay_windows(spark):
+    df = spark.createDataFrame([(i, float(i % 3)) for i in range(9)], "i long, x double").coalesce(1)
+    out = dim(df, [("t", "cumsum(x) |> orderby(i)"), ("m", "median(x)")])
+    assert "Window" in plan(out) and "Join" not in plan(out)
+    assert sum(r.m is not None for r in out.collect()) == 9
